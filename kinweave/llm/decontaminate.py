@@ -9,7 +9,6 @@ Null or empty texts and items match nothing; repeated rows match alike; ties go
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,14 +17,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import by_batch, tune
 
-RATE = 0.1
+RATE = 0.08
 BLOCK_CHARS = 1_000_000
 FIELDS = "doc_id long, item_id long, distance int, match_start long, match_end long"
-_BLANKS = re.compile(r"\s+")
 
 
 def normal(text: str) -> str:
-    return _BLANKS.sub(" ", text.lower()).strip()
+    return " ".join(text.lower().split())
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:

@@ -20,7 +20,7 @@ from .common import arrow_schema, by_batch, tune
 from .textkit import LOWER, Memo, texts, words
 
 ORDER = 5
-SAMPLE_BYTES = 3_000_000
+SAMPLE_BYTES = 1_500_000
 KEPT = 600_000
 UNKNOWN = "und"
 
@@ -153,8 +153,9 @@ class Trees:
 def train(counts: DataFrame) -> Trees:
     """counts: of training_words; its size is bounded by the sample."""
     found: dict[str, dict[bytes, int]] = {}
-    for name, word, n in counts.toLocalIterator():
-        found.setdefault(name, {})[bytes(word)] = n
+    table = counts.toArrow()
+    for name, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n"))):
+        found.setdefault(name, {})[word] = n
     return Trees(found)
 
 

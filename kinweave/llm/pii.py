@@ -183,7 +183,7 @@ def examples(rng: random.Random, n: int) -> list[tuple[str, list[tuple[str, int,
         return rng.choice([f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} [at] {host}.{top.split('.')[-1]}", f"{user}(at){host}[dot]com"])
 
     def none():
-        return rng.choice([digits(rng.randint(4, 8)), f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 31):02}", f"{rng.randint(1, 99)}.{digits(3)}.{digits(3)}", f"{rng.randint(300, 999)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(300, 999)}", digits(16) if rng.random() < 0.3 else digits(rng.randint(9, 24)), word() + digits(6) + word() + digits(5), f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(2)}-{digits(2)} {digits(4)}", f"{word()}@{word()}", f"{digits(3)}-{digits(4)}", digits(20) + word() + digits(12), f"({rng.randint(1900, 2030)})"])
+        return rng.choice([digits(rng.randint(4, 8)), f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 31):02}", f"{rng.randint(1, 99)}.{digits(3)}.{digits(3)}", f"{rng.randint(300, 999)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(300, 999)}", digits(16), digits(16), rng.choice("3456") + digits(15), digits(rng.randint(9, 24)), word() + digits(6) + word() + digits(5), f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(2)}-{digits(2)} {digits(4)}", f"{word()}@{word()}", f"{digits(3)}-{digits(4)}", digits(20) + word() + digits(12), f"({rng.randint(1900, 2030)})"])
 
     make = {"email": email, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
     out = []
@@ -204,7 +204,11 @@ def train(texts: list[str], seed: int = 5, generated: int = 1200, rounds: int =
     rng = random.Random(seed)
     data = examples(rng, generated)
     for t in texts:
-        if base := base_spans(t):
+        base = base_spans(t)
+        for a, b in regions(t)[:3]:
+            if not any(y[1] < b and a < y[2] for y in base):
+                data.append((t[max(0, a - 20) : b + 20], []))
+        if base:
             kept = [x for x in base if not any(y is not x and y[1] < x[2] and x[1] < y[2] for y in base)]
             for k, a, b in kept[:3]:
                 lo, hi = max(0, a - 20), min(len(t), b + 20)
