@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows in an Arrow batch; kernels split batches by bytes themselves, this bounds what one transfer holds.
 BATCH_ROWS = 1000
+NARROW_ROWS = 20_000
+BATCH_BYTES = 16 << 20
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, as one row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def tune(spark: SparkSession, narrow: bool = False) -> None:
+    """Arrow batches of bounded bytes, as one row may hold a very long text; more rows where they are narrow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NARROW_ROWS if narrow else BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

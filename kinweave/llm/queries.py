@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, imatch, langid, packing, pii, sharding, token_counts
+from . import decontaminate, imatch, langid, ngram_join, packing, pii, sharding, token_counts
 from .common import docs_of, remainder
 
 #: Bytes of text in a shard of op4.
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(docs_of(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs_of(spark, sf_dir), SHARD_BYTES).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "depth", "oversized")
 
@@ -50,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op5_token_counts, op6_decontamination, op7_language_id, op8_packing, op9_pii, op10_fingerprints)}
+    return {f.__name__: f for f in (op3_ngram_join, op4_sharding, op5_token_counts, op6_decontamination, op7_language_id, op8_packing, op9_pii, op10_fingerprints)}
 
 
 #: The shortest prefix of 32 key bits whose documents fit; rows of one key (beyond 32 bits) don't occur in an oracle's table.
