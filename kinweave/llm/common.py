@@ -68,3 +68,9 @@ def arrow_schema(fields: str) -> pa.Schema:
     """From 'name type' pairs: the Arrow counterpart of a Spark DDL string of simple types."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[k]) for n, k in (x.strip().split(" ", 1) for x in fields.split(","))])
+
+
+def bounded_sample(rows: DataFrame, target: int) -> DataFrame:
+    """About target rows, each chosen by a hash of its place in the scan, and never more than twice as many."""
+    share = min(1.0, target / max(rows.count(), 1))
+    return rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * target)

@@ -17,7 +17,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_batch, tune
+from .common import bounded_sample, by_batch, tune
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
@@ -240,8 +240,8 @@ def train(texts: list[str], seed: int = 5, generated: int = 1200, rounds: int =
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    own = docs.where(F.col(text).rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS)).select(F.col(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE_DOCS)
-    return train([r[0] for r in own.collect()])
+    own = docs.where(F.col(text).rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS)).select(F.col(text).alias("t"))
+    return train([r[0] for r in bounded_sample(own, SAMPLE_DOCS).collect()])
 
 
 def find(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, imatch, langid, lm_scoring, ngram_join, packing, pii, sharding, token_counts
+from . import decontaminate, imatch, langid, lm_scoring, ngram_join, packing, pii, sharding, suffix_dedup, token_counts
 from .common import docs_of, remainder
 
 #: Bytes of text in a shard of op4.
@@ -22,6 +22,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs_of(spark, sf_dir), remainder(F.col("doc_id"), 7) != 2)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(docs_of(spark, sf_dir))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(docs_of(spark, sf_dir))
 
@@ -58,7 +62,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_ngram_join, op4_sharding, op5_token_counts, op6_decontamination, op7_language_id, op8_packing, op9_pii, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_suffix_dedup, op3_ngram_join, op4_sharding, op5_token_counts, op6_decontamination, op7_language_id, op8_packing, op9_pii, op10_fingerprints)}
 
 
 #: The shortest prefix of 32 key bits whose documents fit; rows of one key (beyond 32 bits) don't occur in an oracle's table.
