@@ -126,8 +126,7 @@ def shingles(w: Words, size: int = 5) -> list[np.ndarray]:
         if c >= size:
             out.append(np.unique(all_[f : f + c - size + 1]))
         elif c:
-            own = (h[f : f + c] * _SLOT[:c]).sum(dtype=np.uint64) + np.uint64(c) * _SLOT[40]
-            out.append(mix(np.array([own], np.uint64)))
+                out.append(mix((h[f : f + c] * _SLOT[:c]).sum(dtype=np.uint64, keepdims=True) + np.array([c], np.uint64) * _SLOT[40]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
