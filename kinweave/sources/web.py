@@ -93,7 +93,10 @@ _ENDS = r"(?i)\s*,?\s*\b(?:Inc|Corp|Corporation|Ltd|Limited|LLC|L\.L\.C\.|Co|Com
 
 def biography_relations(bios: DataFrame, person: str = "person_name", text: str = "bio_text") -> DataFrame:
     """(source_name, relation_type, target_name) of biographies; each relation and lower-cased target once."""
-    found = F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x, k=k: F.struct(F.lit(k).alias("relation_type"), x.alias("t"))) for k, p in BIOGRAPHY))
+    def told(kind, pattern):
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("relation_type"), x.alias("t")))
+
+    found = F.concat(*(told(k, p) for k, p in BIOGRAPHY))
     rows = bios.where(F.col(person).isNotNull() & F.col(text).isNotNull()).select(F.col(person).alias("source_name"), F.posexplode(found).alias("i", "x")).select("source_name", "i", "x.*")
     t = F.trim(F.element_at(F.split(F.trim("t"), _TURNS), 1))
     t = F.when(F.col("relation_type") != "ASSOCIATE", F.regexp_replace(t, _ENDS, "")).otherwise(t)
