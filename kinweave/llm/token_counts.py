@@ -58,41 +58,36 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
 def scan(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
     """(file_id, doc_no, start, n_tokens, closed, block) of every document in the files."""
 
-    def ends_of(b):
+    def edges(b):
+        rows = []
         for file, no, raw in zip(b.column("file_id").to_pylist(), b.column("block").to_pylist(), b.column("ids").to_pylist()):
             ids = np.frombuffer(raw, "<u2")
-            yield file, no, len(ids), np.flatnonzero(ids == end_id)
-
-    def edges(b):
-        rows = [(f, no, n, len(e), n - (int(e[-1]) + 1) if len(e) else n, not len(e)) for f, no, n, e in ends_of(b)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["file_id", "block", "n", "ends", "rest", "whole"])
+            rows.append((file, no, len(ids), (np.flatnonzero(ids == end_id) + 1).astype(np.int32)))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["file_id", "block", "n", "stops"])
 
-    plain = blocks.select("file_id", "block", "ids")
-    edge = plain.mapInArrow(by_batch(lambda: edges), "file_id long, block int, n long, ends long, rest long, whole boolean")
-    # prefix scan: a row for each block, and a file is what one task wrote
+    edge = blocks.select("file_id", "block", "ids").mapInArrow(by_batch(lambda: edges), "file_id long, block int, n long, stops array<int>")
+    # prefix scan over the blocks of a file, which is what one task wrote; the ids themselves aren't shuffled
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    edge = edge.withColumn("at", zero(F.sum("n").over(before))).withColumn("doc_no", zero(F.sum("ends").over(before)))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    edge = edge.withColumn("at", zero(F.sum("n").over(before))).withColumn("doc_no", zero(F.sum(F.size("stops").cast("long")).over(before)))
     # where the open document starts: after the last end in an earlier block
-    edge = edge.withColumn("open_at", zero(F.max(F.when(~F.col("whole"), F.col("at") + F.col("n") - F.col("rest"))).over(before)))
-    last = Window.partitionBy("file_id")
-    edge = edge.withColumn("last", F.col("block") == F.max("block").over(last)).select("file_id", "block", "at", "doc_no", "open_at", "last")
+    edge = edge.withColumn("open_at", zero(F.max(F.when(F.size("stops") > 0, F.col("at") + F.element_at("stops", -1))).over(before)))
+    edge = edge.withColumn("last", F.col("block") == F.max("block").over(Window.partitionBy("file_id")))
 
     def lengths(b):
-        more = {n: b.column(n).to_pylist() for n in ("at", "doc_no", "open_at", "last")}
-        for i, (file, no, n, e) in enumerate(ends_of(b)):
-            at = more["at"][i]
-            stop = e + at + 1
-            start = np.concatenate([[more["open_at"][i]], stop])
+        cols = [b.column(c).to_pylist() for c in ("file_id", "block", "n", "stops", "at", "doc_no", "open_at", "last")]
+        for file, no, n, stops, at, doc_no, open_at, last in zip(*cols):
+            stop = np.array(stops, np.int64) + at
+            start = np.concatenate([[open_at], stop])
             closed = np.ones(len(stop), bool)
-            if more["last"][i] and start[-1] < at + n:
+            if last and start[-1] < at + n:
                 stop, closed = np.append(stop, at + n), np.append(closed, False)
-            start = start[: len(stop)]
-            k = len(stop)
+            start, k = start[: len(stop)], len(stop)
             if k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, file)), pa.array(more["doc_no"][i] + np.arange(k)), pa.array(start), pa.array(stop - start), pa.array(closed), pa.array(np.full(k, no, np.int32)), pa.array(np.arange(k, dtype=np.int32))], ["file_id", "doc_no", "start", "n_tokens", "closed", "block", "nth"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, file)), pa.array(doc_no + np.arange(k)), pa.array(start), pa.array(stop - start), pa.array(closed), pa.array(np.full(k, no, np.int32)), pa.array(np.arange(k, dtype=np.int32))], ["file_id", "doc_no", "start", "n_tokens", "closed", "block", "nth"])
 
-    return plain.join(edge, ["file_id", "block"]).mapInArrow(by_batch(lambda: lengths), "file_id long, doc_no long, start long, n_tokens long, closed boolean, block int, nth int")
+    return edge.mapInArrow(by_batch(lambda: lengths), "file_id long, doc_no long, start long, n_tokens long, closed boolean, block int, nth int")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
