@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", benchmark), ("PII", personal_data), ("packing", packed)]
-#: SQL can't express the stages; tests/llm holds each against brute force.
+#: SQL can't express the stages; tests/llm holds the operators that they call against brute force.
 ORACLE_SQL = None
 
 
