@@ -91,7 +91,7 @@ class Trees:
 
     def __init__(self, counts: dict[str, dict[bytes, int]]):
         self.langs = sorted(counts)
-        self.levels = []
+        self.levels, self.keys = [], []
         parts: list[list[tuple]] = [[] for _ in range(ORDER + 1)]
         for j, name in enumerate(self.langs):
             if not (own := counts[name]):
@@ -123,6 +123,15 @@ class Trees:
                 bits = np.where(count > 0, -np.log2(count / den[of]), np.inf).astype(np.float32)
                 escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / den), 0).astype(np.float32)
             self.levels.append((_table(keys), bits, _table(cks), escape))
+            self.keys.append((keys, cks))
+
+    def __getstate__(self) -> dict:
+        """What is broadcast: the keys of the hash tables, not their slots, which each task fills again."""
+        return {"langs": self.langs, "keys": self.keys, "values": [(bits, escape) for _, bits, _, escape in self.levels]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.langs, self.keys = state["langs"], state["keys"]
+        self.levels = [(_table(keys), bits, _table(cks), escape) for (keys, cks), (bits, escape) in zip(self.keys, state["values"])]
 
     def lengths(self, word_list: list[bytes]) -> np.ndarray:
         """Bits of each word, its ending blank included, in each language."""
