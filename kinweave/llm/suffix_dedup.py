@@ -107,7 +107,7 @@ def suffix_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.nd
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
     head = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
@@ -117,7 +117,8 @@ def suffix_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.nd
     while h < depth and len(tied):
         pos = sa[tied]
         nxt = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
-        order = np.lexsort((nxt, rank[pos]))
+        # one number for both: n is bounded by the shard, so it fits; ties stay tied
+        order = np.argsort(rank[pos] * (n + 1) + nxt)
         pos, nxt, old = pos[order], nxt[order], rank[pos][order]
         sa[tied] = pos
         first = np.concatenate([[True], (old[1:] != old[:-1]) | (nxt[1:] != nxt[:-1])])
