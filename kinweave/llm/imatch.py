@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_schema, by_batch, materialize, partitions, tune
@@ -22,6 +23,8 @@ from .textkit import Memo, mix, texts, words
 LEXICONS = 16
 #: Kept terms occur in at least the first and at most the second share of documents.
 BAND = (0.0005, 0.1)
+#: Bytes of texts that are unpacked at a time, unless a single text is longer.
+UNPACKED = 8 << 20
 _SALT = np.random.default_rng(31).integers(1, 2**63, LEXICONS, dtype=np.uint64)
 
 
@@ -126,13 +129,43 @@ def _rows(ids: list, raw: list[bytes], then: list[bytes], prints: Prints) -> lis
     return [pa.array(ids, pa.int64()), pa.array(n_chars, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in edited]), pa.array(hexed(fp)), pa.array(hexed(fe)), pa.array((fp == fe).mean(1)), pa.array((fp == fn).mean(1))]
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows (k, h, t) with each t packed: whole texts are shuffled once, and this less than halves them."""
+
+    def make():
+        c = zstandard.ZstdCompressor(level=3)
+
+        def f(b):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["k", "h", "t"])
+
+        return f
+
+    return rows.mapInArrow(by_batch(make), "k long, h long, t binary")
+
+
+def _unpacked(batch: pa.RecordBatch):
+    """(ids, texts) of a batch in runs of about UNPACKED bytes."""
+    d = zstandard.ZstdDecompressor()
+    ids, raw, size = [], [], 0
+    for k, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        n = zstandard.frame_content_size(z)
+        if raw and size + n > UNPACKED:
+            yield ids, raw
+            ids, raw, size = [], [], 0
+        ids.append(k)
+        raw.append(d.decompress(z))
+        size += n
+    if raw:
+        yield ids, raw
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to it and to the next text's."""
     spark = docs.sparkSession
     tune(spark)
     lex = spark.sparkContext.broadcast(lexicon(docs, text, band))
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).withColumn("h", F.xxhash64("t"))
-    rows = rows.repartitionByRange(partitions(spark), "k", "h").sortWithinPartitions("k", "h").select("k", "t")
+    rows = _packed(rows).repartitionByRange(partitions(spark), "k", "h").sortWithinPartitions("k", "h").select("k", "t")
     names = [x.split(" ")[0] for x in FIELDS.split(", ")]
     blank = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -145,10 +178,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
         def edge(kind, k, t):
             return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.nulls(1, x) for x in blank), pa.array([kind]), pa.array([part], pa.int32()), pa.array([t], pa.binary())], [*names, "kind", "part", "t"])
 
-        for b in batches:
-            ids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if not ids:
-                continue
+        for ids, raw in (run_ for b in batches for run_ in _unpacked(b)):
             if first:
                 first = False
                 yield edge("head", ids[0], raw[0])
