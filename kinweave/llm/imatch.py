@@ -136,7 +136,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         c = zstandard.ZstdCompressor(level=3)
 
         def f(b):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["k", "h", "t"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), pa.array([c.compress(t) for t in b.column("t").to_pylist()], pa.binary())], ["k", "h", "t"])
 
         return f
 
