@@ -197,7 +197,8 @@ def _shard(table: pa.Table) -> pa.Table:
         fp, rid, start = fp[keep], np.where(marked[keep], -1, rid[keep]), start[keep]
         order = np.argsort(fp)
         fp, rid, start = fp[order], rid[order], start[order]
-        buckets = max(1, -(-len(fp) * subs // MERGE))
+        # from what all shards of the anchor share: an occurrence lies in at most LENGTH - GRAM + 1 strings
+        buckets = max(1, -(-subs * HOT * (LENGTH - GRAM + 1) // MERGE))
         which = (fp >> np.uint64(40)) % np.uint64(1 << 24) * np.uint64(buckets) >> np.uint64(24)
         for k in np.unique(which).tolist():
             own = which == k

@@ -120,6 +120,42 @@ def test_suffix_dedup(docs, rows, empty, hot, monkeypatch):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_over_buckets(monkeypatch):
+    # in this process, as workers import the module anew and see no patch
+    monkeypatch.setattr(suffix_dedup, "HOT", 18)
+    monkeypatch.setattr(suffix_dedup, "MERGE", 200)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    many = word(50_000)
+    at = int(suffix_dedup.runs(np.frombuffer(many.encode(), np.uint8))[0].argmin())
+    hot = many[at : at + 32]
+    # templates with one hot gram, the anchor of all their strings: 30 of 402 bytes, each in two rows, and some long ones of which shards get unequal shares
+    short = ["".join(hot + word(100) for _ in range(4))[:402] for _ in range(30)]
+    long = ["".join(hot + word(100) for _ in range(rng.choice([4, 60]))) for _ in range(10)]
+    texts = [np.frombuffer((word(60) + x + word(60)).encode(), np.uint8) for x in short + long + short]
+    found = [suffix_dedup.anchors(t) for t in texts]
+    total = Counter()
+    for k, n in found:
+        total.update(dict(zip(k.tolist(), n.tolist())))
+    shards, buckets, got = defaultdict(list), defaultdict(list), set()
+    for rid, (t, (k, _)) in enumerate(zip(texts, found)):
+        k = k[[total[x] > 1 for x in k.tolist()]]
+        for row in suffix_dedup.regions(t, k, np.array([total[x] for x in k.tolist()], np.int64), rid, 3):
+            shards[row[0]].append(dict(zip(("sid", "anchor", "subs", "start", "bytes", "starts", "rid"), (*row, rid))))
+    assert len(shards) > 10
+    for rows in shards.values():
+        for r in suffix_dedup._shard(pa.Table.from_pylist(rows)).to_pylist():
+            if r["kind"]:
+                buckets[r["anchor"], r["bucket"]].append(r)
+            else:
+                got |= {(r["rid"], i) for i in range(r["a"], r["b"] + 1)}
+    for rows in buckets.values():
+        got |= {(r["rid"], r["a"]) for r in suffix_dedup._merge(pa.Table.from_pylist(rows)).to_pylist()}
+    raw = [t.tobytes() for t in texts]
+    c = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    assert got == {(d, i) for d, t in enumerate(raw) for i in range(len(t) - 399) if c[t[i : i + 400]] > 1}
+
+
 def test_ngram_join(docs, rows, empty):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     sets = []
