@@ -290,3 +290,13 @@ def test_lm_scores(docs, rows, empty):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(r.score < 0 for r in out)
     assert lm_scoring.score(empty, train).count() == 0
+
+
+def test_lm_contexts_of_all_training_words(spark):
+    rng = random.Random(9)
+    long = ["".join(rng.choice("ab") for _ in range(24)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(["plain", "words", "of", "short", "texts"]) for _ in range(30))) for i in range(20)]
+    # these words come only in a text beyond the sample's length; their short contexts tell little
+    rows += [(100, " ".join(long * 40)), (101, " ".join(rng.sample(long, 20)))]
+    out = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") != 101)
+    assert out.where("held_out").first().bits_per_byte < 0.5
