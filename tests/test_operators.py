@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave import schemas
+from kinweave.plans import queries
 from kinweave.operators import edges, evidence, graph, pairs, paths, resolve, search
 
 
@@ -53,6 +54,23 @@ def test_paths_match_enumeration(spark):
         assert all(len(set(r.path)) == len(r.path) for r in found)
 
 
+def test_path_queries_take_all_links(spark, monkeypatch):
+    # a path of six links, none of them of a large order: no filter or lower bound of hops may drop it
+    ends = queries._ENDS
+    chain = [ends[0], "c1", "s1", "c2", "s2", "c3", ends[1]]
+    rows = rel(spark, [(a, None, b, None, "FRIEND") for a, b in zip(chain, chain[1:])]).withColumn("quantity", F.lit(1))
+    gone = spark.createDataFrame([("x", -1.0)], "c_name string, c_acctbal double")
+    monkeypatch.setattr(queries, "rel", lambda *_: rows)
+    monkeypatch.setattr(queries, "table", lambda *_: gone)
+    links = [(r.a, r.b, r.prob) for r in queries.scored(spark, "").collect()]
+    want = brute(links, *ends, 5, 6)
+    assert len(want) == 1
+    found = queries.queries()["g4_paths_whole"](spark, "").collect()
+    assert [(round(r.cost, 6), list(r.path)) for r in found] == [(round(c, 6), p) for c, p in want]
+    described = queries.queries()["d16_described_paths"](spark, "").collect()
+    assert [[x.node for x in r.path] for r in described] == [p for _, p in want]
+
+
 def test_pagerank_mass_components_percentile(spark):
     g = scored(spark, [("a", "b", 0.9), ("b", "c", 0.5), ("d", "e", 0.5)])
     ranks = graph.pagerank(g, max_iter=40)
