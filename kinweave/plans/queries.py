@@ -121,6 +121,12 @@ def g3_pagerank(spark, d):
     return G.pagerank(scored(spark, d), max_iter=_ROUNDS, tol=None).select("node", F.round(F.col("rank") * 1000, 7).alias("rank"))
 
 
+@query()
+def g3_pagerank_converged(spark, d):
+    """Until no rank moves by more than the tolerance; g3_pagerank is the comparison of its rounds with SQL."""
+    return G.pagerank(scored(spark, d)).select("node", "rank")
+
+
 def _sparse(spark, d):
     return E.scored_edges(rel(spark, d).where("quantity >= 49"), drop_person_positions=False)
 

@@ -79,6 +79,17 @@ def test_pagerank_mass_components_percentile(spark):
     assert sorted(r.sci for r in graph.percentile(ranks).collect()) == [1, 20, 40, 60, 80]
 
 
+def test_pagerank_query_converges(spark, monkeypatch):
+    star = [("hub", f"n{i}") for i in range(6)] + [("n0", "end")]
+    monkeypatch.setattr(queries, "rel", lambda *_: rel(spark, [(a, None, b, None, "FRIEND") for a, b in star]))
+    got = {r.node: r.rank for r in queries.queries()["g3_pagerank_converged"](spark, "").collect()}
+    near = {x: {b if x == a else a for a, b in star if x in (a, b)} for x in got}
+    want = dict.fromkeys(got, 1 / len(got))
+    for _ in range(300):
+        want = {x: 0.15 / len(got) + 0.85 * sum(want[y] / len(near[y]) for y in near[x]) for x in got}
+    assert len(got) == 8 and got == pytest.approx(want, abs=1e-4)
+
+
 def test_overlap_rules(spark):
     cases = [((2000, 2005, 2004, 2010), (2004, 2005)), ((None, None, 2000, 2001), None), ((2000, None, 2008, None), (2008, 2008)), ((1900, 1960, 1950, 1955), None), ((2000, 2001, 2002, 2003), None)]
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, a int, b int, c int, d int").orderBy("i")
