@@ -20,6 +20,8 @@ from .textkit import texts
 BLOCK = 1 << 18
 
 END_ID = 49407
+#: Stands in the files for an end_id that a text itself holds: beyond the vocabulary, so it ends no document.
+ESCAPED = 65535
 
 
 def write_blocks(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
@@ -41,7 +43,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
             names = b.column(0).to_pylist()
             for t in texts(b.column(1)):
                 for i, x in zip(t.rows.tolist(), tok.encode(t)):
-                    parts += [x, np.array([end_id], np.int32)]
+                    parts += [np.where(x == end_id, ESCAPED, x), np.array([end_id], np.int32)]
                     n += len(x) + 1
                     keys.append((n - 1, names[i]))
                 while n >= block:

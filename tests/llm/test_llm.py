@@ -300,3 +300,10 @@ def test_lm_contexts_of_all_training_words(spark):
     rows += [(100, " ".join(long * 40)), (101, " ".join(rng.sample(long, 20)))]
     out = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") != 101)
     assert out.where("held_out").first().bits_per_byte < 0.5
+
+
+def test_token_counts_of_a_text_with_the_separator(spark):
+    own = tokenizer.load(PATH).own
+    rows = [(1, "before"), (2, "one <|endoftext|> two <|endoftext|>"), (3, "after it"), (4, "the last one")]
+    found = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in found) == [(d, len(own.encode(t, add_special_tokens=False).ids) + 1) for d, t in rows]
