@@ -43,6 +43,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many _ before it as it takes to clash with none of the columns (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame, name: str, rid: str = "rid") -> DataFrame:
+    """docs with a row number, written once: every later job reads the same numbers, however the input is split when it runs."""
+    return materialize(docs.withColumn(rid, F.monotonically_increasing_id()), name)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
