@@ -1,12 +1,14 @@
 """I-Match fingerprints over randomised lexicons.
 
 The lexicon keeps the words whose document frequency lies in a band of inverse document frequency, relative to the number of documents, so
-its size is at most (mean distinct words of a document) / BAND[0], whatever the corpus. Each of LEXICONS random orders gives a
-chain of nested random lexicons, each half of the one before; a document uses the smallest of the chain that still holds one of
-its terms, and its hash covers the sorted distinct terms in there. Likeness is the share of equal hashes.
+its size is at most (mean distinct words of a document) / BAND[0], whatever the corpus. From it ORDERS chains of LEVELS random lexicons are drawn, the same
+for all documents: the first of a chain is the whole lexicon, each next one holds a random half of the one before. A fingerprint has one hash for each
+lexicon, over the sorted distinct terms that the document has in it: 0 where it has none. Likeness is the share of chains whose smallest lexicon
+with a term of either text gives both the same hash: small lexicons forgive edits, whole ones tell equal sets of terms.
 
 A null text is empty. A text without terms in the band uses all its words; without words, the whole text is hashed. Equal texts get
-equal fingerprints. The next document is that with the next doc_id (ties by text hash; the last is followed by the first, one alone by itself).
+equal fingerprints, so repeated rows do; very long texts are handled alone; other columns play no part; an empty table gives no rows.
+The next document is that with the next doc_id (ties by text hash; the last is followed by the first, one alone by itself).
 """
 from __future__ import annotations
 
@@ -17,15 +19,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_schema, by_batch, materialize, partitions, tune
-from .textkit import Memo, mix, texts, words
+from .common import by_batch, materialize, partitions, tune
+from .textkit import Keys, mix, texts, words
 
-LEXICONS = 16
+ORDERS, LEVELS = 12, 13
 #: Kept terms occur in at least the first and at most the second share of documents.
 BAND = (0.0005, 0.1)
 #: Bytes of texts that are unpacked at a time, unless a single text is longer.
 UNPACKED = 8 << 20
-_SALT = np.random.default_rng(31).integers(1, 2**63, LEXICONS, dtype=np.uint64)
+_SALT = np.random.default_rng(31).integers(1, 2**63, ORDERS, dtype=np.uint64)
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,58 +77,82 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
     return np.sort(table.column(0).to_numpy().view(np.uint64))
 
 
-def _hashes(terms: np.ndarray) -> np.ndarray:
-    """LEXICONS hashes of sorted distinct terms."""
-    r = mix(terms[:, None] ^ _SALT[None, :])
-    low = r.min(0)
-    bits = np.frexp(low.astype(np.float64))[1]
-    top = np.where(bits >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(bits, 63).astype(np.uint64)) - np.uint64(1))
-    inside = r <= np.maximum(top, low)[None, :]
-    return (np.where(inside, mix(terms ^ np.uint64(0x51ED270B))[:, None], np.uint64(0)).sum(0, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32)
+_STEP = 0x9FB21C651E98DF25
+
+
+def _hashes(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """[documents, ORDERS, LEVELS] hashes of 16 bits: terms are sorted and distinct in each document, first is where each document's begin."""
+    n, docs = len(terms), len(first)
+    out = np.zeros((LEVELS, ORDERS * docs), np.uint16)
+    power = np.full(n, _STEP, np.uint64)
+    power[:1] = 1
+    power = np.multiply.accumulate(power)
+    # by order, document and term; the level is the number of leading zero bits of a term's draw
+    draw = mix(terms[None, :] ^ _SALT[:, None]).ravel()
+    group = np.tile(np.repeat(np.arange(docs), np.diff(np.append(first, n))), ORDERS) + np.repeat(np.arange(ORDERS) * docs, n)
+    value = np.tile(mix(terms ^ np.uint64(0x51ED270B)), ORDERS)
+    for level in range(LEVELS):
+        if level:
+            inside = np.flatnonzero(draw < np.uint64(1 << 64 - level))
+            draw, group, value = draw[inside], group[inside], value[inside]
+        if not len(group):
+            break
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        place = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+        total = mix(np.add.reduceat(value * power[place], start)) >> np.uint64(48)
+        out[level, group[start]] = np.maximum(total, np.uint64(1)).astype(np.uint16)
+    return out.reshape(LEVELS, ORDERS, docs).transpose(2, 1, 0)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of fingerprints [documents, ORDERS, LEVELS]: the share of chains that agree on the smallest lexicon with a term of either."""
+    some = (a != 0) | (b != 0)
+    last = LEVELS - 1 - np.argmax(some[:, :, ::-1], axis=2)[:, :, None]
+    return (np.take_along_axis(a, last, 2) == np.take_along_axis(b, last, 2)).mean((1, 2)) if len(a) else np.zeros(0)
 
 
 class Prints:
     def __init__(self, band: np.ndarray):
-        self.table = Memo(max(12, int(len(band) * 4).bit_length()))
-        self.band = band
+        self.band = Keys(band)
 
     def of(self, column: pa.Array) -> np.ndarray:
-        out = []
+        out = [np.zeros((0, ORDERS, LEVELS), np.uint16)]
         for t in texts(column):
             w = words(t)
-            u, back = np.unique(w.hash, return_inverse=True)
-            at = np.searchsorted(self.band, u)
-            known = np.zeros(len(u), bool)
-            if len(self.band):
-                known = self.band[np.minimum(at, len(self.band) - 1)] == u
-            keep = known[back] if len(u) else known
+            known = self.band.find(w.hash) >= 0
+            bare = np.bincount(w.text[known], minlength=len(t.lo)) == 0
+            use = known | bare[w.text]
+            term, doc = w.hash[use], w.text[use]
+            order = np.lexsort((term, doc))
+            term, doc = term[order], doc[order]
+            new = np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]) if len(term) else np.zeros(0, bool)
+            term, doc = term[new], doc[new]
+            owner, first = np.unique(doc, return_index=True)
+            own = np.zeros((len(t.lo), ORDERS, LEVELS), np.uint16)
+            if len(term):
+                own[owner] = _hashes(term, first)
             raw = t.buf.tobytes()
-            for i, (f, c) in enumerate(zip(w.first.tolist(), w.count.tolist())):
-                own = w.hash[f : f + c]
-                terms = np.unique(own[keep[f : f + c]])
-                if not len(terms):
-                    terms = np.unique(own)
-                if len(terms):
-                    out.append(_hashes(terms))
-                else:
-                    out.append(np.frombuffer(hashlib.blake2b(raw[t.lo[i] : t.hi[i]], digest_size=4).digest() * LEXICONS, np.uint32))
-        return np.array(out, np.uint32).reshape(-1, LEXICONS)
+            for i in np.flatnonzero(w.count == 0).tolist():
+                own[i] = max(1, int.from_bytes(hashlib.blake2b(raw[t.lo[i] : t.hi[i]], digest_size=2).digest()))
+            out.append(own)
+        return np.concatenate(out)
 
 
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _rows(ids: list, raw: list[bytes], then: list[bytes], prints: Prints) -> list[pa.Array]:
-    """The result columns of texts raw with next texts then."""
+def _rows(ids: list, raw: list[bytes], prints: Prints) -> list[pa.Array]:
+    """The result columns of all texts but the last, each followed by the next."""
     n_chars, edited = [], []
-    for a, b in zip(raw, then):
+    for a, b in zip(raw, raw[1:]):
         s = a.decode("utf-8", "replace")
         k = len(s) // 4
         n_chars.append(len(s))
         edited.append((s[: len(s) - k] + b[: 4 * k + 4].decode("utf-8", "ignore")[:k]).encode())
-    fp, fe, fn = (prints.of(pa.array(x, pa.binary())) for x in (raw, edited, then))
-    hexed = lambda x: [r.astype(">u4").tobytes().hex() for r in x]
-    return [pa.array(ids, pa.int64()), pa.array(n_chars, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in edited]), pa.array(hexed(fp)), pa.array(hexed(fe)), pa.array((fp == fe).mean(1)), pa.array((fp == fn).mean(1))]
+    fp, fe = prints.of(pa.array(raw, pa.binary())), prints.of(pa.array(edited, pa.binary()))
+    fp, fn = fp[:-1], fp[1:]
+    hexed = lambda x: [r.astype(">u2").tobytes().hex() for r in x]
+    return [pa.array(ids[:-1], pa.int64()), pa.array(n_chars, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in edited], pa.string()), pa.array(hexed(fp), pa.string()), pa.array(hexed(fe), pa.string()), pa.array(likeness(fp, fe)), pa.array(likeness(fp, fn))]
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -187,7 +213,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
             held = ids[-1], raw[-1]
             if len(ids) > 1:
                 n = len(ids) - 1
-                yield pa.RecordBatch.from_arrays([*_rows(ids[:-1], raw[:-1], raw[1:], prints), pa.array(["done"] * n), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.binary())], [*names, "kind", "part", "t"])
+                yield pa.RecordBatch.from_arrays([*_rows(ids, raw, prints), pa.array(["done"] * n), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.binary())], [*names, "kind", "part", "t"])
         if held:
             yield edge("tail", *held)
 
@@ -201,7 +227,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
         prints = Prints(lex.value)
 
         def f(b):
-            yield pa.RecordBatch.from_arrays(_rows(*(c.to_pylist() for c in b.columns), prints), names)
+            for k, t, head in zip(*(c.to_pylist() for c in b.columns)):
+                yield pa.RecordBatch.from_arrays(_rows([k, None], [t, head], prints), names)
 
         return f
 

@@ -3,10 +3,11 @@
 Each language has a variable-order byte context tree over lower-cased words and the blank that ends each; contexts are the up to ORDER
 bytes before, back to the blank that starts the word. A symbol costs -log2 of its PPM-C probability: at each order the escape is
 d / (n + d) for n symbols of d kinds seen there, down to 1/256. Statistics are frozen after training, so the code length of a word
-is a constant that each task computes once. Trees are trained on whole texts of a bounded sample: about SAMPLE_BYTES a language, chosen by a
-hash of the id; every text is scored whole.
+is a constant that each task computes once. Trees are trained on whole texts of a bounded sample: at least SAMPLE_BYTES a language where it has as much, taken in the order of a
+hash; every text is scored whole.
 
-A null or letterless text, or one scored when nothing could be learned, is `und` with score 0. Ties go to the first language by name. Repeated rows are predicted alike.
+A null, empty or letterless text, or one scored when nothing could be learned (an empty table), is `und` with score 0. Ties go to the first language by name.
+Repeated rows are predicted alike. Very long texts are scored whole, a word at a time. Other columns are kept, whatever their names.
 """
 from __future__ import annotations
 
@@ -14,13 +15,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import arrow_schema, by_batch, tune
-from .textkit import LOWER, Memo, texts, words
+from .common import by_batch, tune, unused
+from .textkit import LOWER, Keys, Memo, texts, words
 
 ORDER = 5
 SAMPLE_BYTES = 1_500_000
+#: Cells of the hash by which training documents are taken.
+CELLS = 1024
 KEPT = 600_000
 UNKNOWN = "und"
 
@@ -29,11 +32,16 @@ def training_words(docs: DataFrame, train: Column, lang: str = "lang", text: str
     """(lang, word, n): lower-cased words of the sampled training texts."""
     tune(docs.sparkSession)
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t"), F.col(doc_id).alias("k"))
-    have = {r[0]: r[1] or 0 for r in rows.groupBy("lang").agg(F.sum(F.octet_length("t"))).collect()}
-    share = F.lit(0.0)
-    for name, n in have.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_BYTES / max(n, 1)))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20))
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("k", F.crc32("t"), F.lit("langid")), F.lit(CELLS)))
+    # the bytes of each cell of the hash; cells are taken in order until they hold enough, so every language has some documents
+    cells = {}
+    for name, u, n in rows.groupBy("lang", "u").agg(F.sum(F.octet_length("t"))).collect():
+        cells.setdefault(name, {})[u] = n or 0
+    last = F.lit(-1)
+    for name, own in cells.items():
+        at = np.cumsum([own.get(u, 0) for u in range(CELLS)])
+        last = F.when(F.col("lang") == name, F.lit(int(np.searchsorted(at, min(SAMPLE_BYTES, at[-1]))))).otherwise(last)
+    sample = rows.where(F.col("u") <= last)
 
     def count(batches):
         seen: dict[str, Counter] = {}
@@ -49,19 +57,19 @@ def training_words(docs: DataFrame, train: Column, lang: str = "lang", text: str
     return sample.select("lang", "t").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _contexts(flat: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each order, hashes of the bytes before each place of flat, which holds a blank, then words each ended by a blank; first: place of each symbol's word start."""
+def _contexts(flat: np.ndarray, first: np.ndarray):
+    """By order, hashes of the bytes before each place of flat, which holds a blank, then words each ended by a blank; first: place of each symbol's word start."""
     n = len(flat)
     at = np.arange(n)
-    out, h = [np.zeros(n, np.uint64)], np.zeros(n, np.uint64)
+    h = np.zeros(n, np.uint64)
+    yield h
     for k in range(1, ORDER + 1):
         src = at - k
         ok = src >= first - 1
         byte = np.where(ok, flat[np.maximum(src, 0)], 0).astype(np.uint64)
         h = (h * np.uint64(0x100000001B3)) ^ (byte + np.uint64(257))
         h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-        out.append(np.where(ok, h, np.uint64(0)))  # 0: the context would go beyond the word
-    return out
+        yield np.where(ok, h, np.uint64(0))  # 0: the context would go beyond the word
 
 
 def _flat(word_list: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,67 +84,50 @@ def _pair(ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _table(keys: np.ndarray) -> Memo:
-    bits = max(10, int(len(keys) * 4).bit_length())
-    while True:
-        m = Memo(bits)
-        m.put(keys, np.arange(len(keys), dtype=np.int32))
-        if (m.find(keys) == np.arange(len(keys))).all():
-            return m
-        bits += 1
-
-
 class Trees:
-    """Context trees of all languages, side by side."""
+    """Context trees of all languages, side by side, built order by order."""
 
     def __init__(self, counts: dict[str, dict[bytes, int]]):
         self.langs = sorted(counts)
-        self.levels, self.keys = [], []
-        parts: list[list[tuple]] = [[] for _ in range(ORDER + 1)]
+        self.levels = []
+        parts = []
         for j, name in enumerate(self.langs):
-            if not (own := counts[name]):
-                continue
-            flat, first, start = _flat(list(own))
-            n = np.repeat(np.array(list(own.values()), np.int64), np.diff(np.append(start, len(flat))))
-            for k, ctx in enumerate(_contexts(flat, first)):
-                ctx, sym, c = ctx[1:], flat[1:], n
-                ok = (ctx != 0) if k else np.ones(len(ctx), bool)
-                parts[k].append((j, ctx[ok], sym[ok], c[ok]))
+            if own := counts[name]:
+                flat, first, start = _flat(list(own))
+                n = np.repeat(np.array(list(own.values()), np.int64), np.diff(np.append(start, len(flat))))
+                parts.append((j, flat[1:], n, _contexts(flat, first)))
         for k in range(ORDER + 1):
-            pair = np.concatenate([np.zeros(0, np.uint64), *(_pair(c, s) for _, c, s, _ in parts[k])])
-            ctx = np.concatenate([np.zeros(0, np.uint64), *(c for _, c, _, _ in parts[k])])
-            keys, kb = np.unique(pair, return_inverse=True)
-            cks, cb = np.unique(ctx, return_inverse=True)
-            count = np.zeros((len(keys), len(self.langs)))
-            of = np.zeros(len(keys), np.int64)
-            of[kb] = cb
-            at = 0
-            for j, c, _, n in parts[k]:
-                np.add.at(count[:, j], kb[at : at + len(c)], n)
-                at += len(c)
-            total, kinds = np.zeros((len(cks), len(self.langs))), np.zeros((len(cks), len(self.langs)))
-            np.add.at(total, of, count)
-            np.add.at(kinds, of, count > 0)
-            # frozen code lengths: of the symbol, and of the escape (0 where the language hasn't seen the context)
-            den = np.maximum(total + kinds, 1)
-            with np.errstate(divide="ignore"):
-                bits = np.where(count > 0, -np.log2(count / den[of]), np.inf).astype(np.float32)
-                escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / den), 0).astype(np.float32)
-            self.levels.append((_table(keys), bits, _table(cks), escape))
-            self.keys.append((keys, cks))
-
-    def __getstate__(self) -> dict:
-        """What is broadcast: the keys of the hash tables, not their slots, which each task fills again."""
-        return {"langs": self.langs, "keys": self.keys, "values": [(bits, escape) for _, bits, _, escape in self.levels]}
-
-    def __setstate__(self, state: dict) -> None:
-        self.langs, self.keys = state["langs"], state["keys"]
-        self.levels = [(_table(keys), bits, _table(cks), escape) for (keys, cks), (bits, escape) in zip(self.keys, state["values"])]
+            ctx, sym, n, lang = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for j, own, many, contexts in parts:
+                c = next(contexts)[1:]
+                ok = (c != 0) if k else np.ones(len(c), bool)
+                ctx.append(c[ok])
+                sym.append(own[ok])
+                n.append(many[ok])
+                lang.append(np.full(int(ok.sum()), j))
+            self.levels.append(self._level(*map(np.concatenate, (ctx, sym, n, lang))))
+
+    def _level(self, ctx, sym, n, lang):
+        """Keys of symbols after contexts and of contexts, with frozen code lengths of the symbol and of the escape (0 where the language hasn't seen the context)."""
+        langs = len(self.langs)
+        keys, kb = np.unique(_pair(ctx, sym), return_inverse=True)
+        cks, cb = np.unique(ctx, return_inverse=True)
+        of = np.zeros(len(keys), np.int64)
+        of[kb] = cb
+        count = np.bincount(kb * langs + lang, n, len(keys) * langs).reshape(len(keys), langs)
+        of = of[:, None] * langs + np.arange(langs)
+        total = np.bincount(of.ravel(), count.ravel(), len(cks) * langs)
+        kinds = np.bincount(of.ravel(), (count > 0).ravel(), len(cks) * langs)
+        den = np.maximum(total + kinds, 1)
+        with np.errstate(divide="ignore"):
+            bits = np.where(count > 0, -np.log2(count / den[of]), np.inf).astype(np.float32)
+            escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / den), 0).astype(np.float32).reshape(len(cks), langs)
+        return Keys(keys), bits, Keys(cks), escape
 
     def lengths(self, word_list: list[bytes]) -> np.ndarray:
         """Bits of each word, its ending blank included, in each language."""
         flat, first, start = _flat(word_list)
-        contexts = _contexts(flat, first)
+        contexts = list(_contexts(flat, first))
         n, k_langs = len(flat), len(self.langs)
         cost = np.zeros((n, k_langs), np.float32)
         open_ = np.ones((n, k_langs), bool)
@@ -218,24 +209,20 @@ class Scorer:
 
 
 def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; all rows and columns are kept."""
+    """docs with two more columns, lang_pred and score, with as many _ before their names as it takes to clash with none; all rows and columns are kept."""
     spark = docs.sparkSession
     tune(spark)
-    if clash := {"lang_pred", "score", "_t"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
     model = spark.sparkContext.broadcast(trees)
-    rows = docs.withColumn("_t", F.col(text).cast("binary"))
-    fields = [*docs.schema.fields]
+    new = [unused("lang_pred", docs.columns), unused("score", docs.columns)]
+    rows = docs.withColumn(unused("_t", docs.columns), F.col(text).cast("binary"))
 
     def make():
         scorer = Scorer(model.value)
 
         def f(b):
             names, scores = scorer.predict(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], *new])
 
         return f
 
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(by_batch(make), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(by_batch(make), T.StructType([*docs.schema.fields, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())]))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 KEY_BITS, BITS = 32, 63
 #: Bits that one round looks at below those that an even spread would need.
@@ -22,19 +22,15 @@ def _hex(c: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def _prefix(address: Column, depth: Column) -> Column:
-    return F.expr("shiftright(_a, 63 - _d)") if address is None else F.call_function("shiftright", address, F.lit(BITS) - depth)
-
-
 def shard(docs: DataFrame, limit: int, key: str = "doc_id", size: Column | None = None) -> DataFrame:
-    """docs with shard (prefix bits as text, '' for the whole), depth, and oversized; all rows and columns are kept."""
+    """docs with shard (prefix bits as text, '' for the whole), depth, and oversized, with as many _ before these names as it takes to clash with none; all rows
+    and columns are kept. Rows and their addresses are written once, so that no later job numbers them anew."""
     size = F.coalesce((F.octet_length("text") if size is None else size).cast("long"), F.lit(0))
-    names = docs.columns
-    if clash := {"_k", "_a", "_n", "_d", "shard", "depth", "oversized"} & set(names):
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    new = [unused(x, docs.columns) for x in ("shard", "depth", "oversized")]
     key_text = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
-    rows = docs.withColumn("_k", _hex(key_text, 8)).withColumn("_n", size)
-    rows = rows.withColumn("_a", F.col("_k") * (1 << (BITS - KEY_BITS)) + F.call_function("shiftright", _hex(F.concat_ws("/", key_text, F.monotonically_increasing_id().cast("string")), 8), F.lit(1)))
+    place = F.call_function("shiftright", _hex(F.concat_ws("/", key_text, F.monotonically_increasing_id().cast("string")), 8), F.lit(1))
+    # the caller's columns travel as one, so none of theirs can clash with ours
+    rows = materialize(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), size.alias("_n"), (_hex(key_text, 8) * (1 << (BITS - KEY_BITS)) + place).alias("_a")), "shard-rows")
     total = rows.agg(F.sum("_n")).first()[0] or 0
     depth = min(BITS, max(0, -(-total // limit) - 1).bit_length() + SLACK)
     open_rows, found, done = rows.select("_a", "_n"), None, 0
@@ -66,4 +62,4 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", size: Column | None
         s = F.coalesce(*(F.col(f"_s{at}") for at in sorted(depths)))
         out = out.withColumn("_s", s).withColumn("_d", F.col("_s._d")).withColumn("_p", F.col("_s._p")).withColumn("_b", F.col("_s._b"))
     bits = F.when(F.col("_d") == 0, F.lit("")).otherwise(F.expr("lpad(bin(_p), _d, '0')"))
-    return out.select(*names, bits.alias("shard"), F.col("_d").cast("int").alias("depth"), (F.col("_n") > limit).alias("oversized"))
+    return out.select("_row.*", bits.alias(new[0]), F.col("_d").cast("int").alias(new[1]), (F.col("_n") > limit).alias(new[2]))

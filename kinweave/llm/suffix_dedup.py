@@ -8,6 +8,7 @@ An anchor of more than HOT occurrences is split over shards of bounded size; the
 bounded range of them in each task.
 
 Texts that are equal as a whole take part once and, from LENGTH bytes on, are removed whole. Null texts are empty; shorter texts keep all; repeated rows are copies.
+A very long text lies in as many shards as its anchors ask for; other columns play no part; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_batch, materialize, tune
+from .common import by_batch, materialize, numbered, tune
 from .textkit import mix, span_hashes
 
 LENGTH, GRAM = 400, 32
@@ -58,7 +59,7 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h[most == h], return_counts=True)
 
 
-def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def describe(rows: DataFrame) -> DataFrame:
     def f(b):
         n, d1, d2, sha, keys, counts = [], [], [], [], [], []
         for t in b.column(2).to_pylist():
@@ -72,8 +73,7 @@ def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             counts.append(np.asarray(c, np.int32))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(sha), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["rid", "doc_id", "n_bytes", "d1", "d2", "sha", "keys", "counts"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return materialize(rows.mapInArrow(by_batch(lambda: f), "rid long, doc_id long, n_bytes long, d1 long, d2 long, sha string, keys array<long>, counts array<int>"), "suffix-docs")
+    return materialize(rows.select("rid", "doc_id", "t").mapInArrow(by_batch(lambda: f), "rid long, doc_id long, n_bytes long, d1 long, d2 long, sha string, keys array<long>, counts array<int>"), "suffix-docs")
 
 
 def regions(text: np.ndarray, keys: np.ndarray, counts: np.ndarray, rid: int, shards: int):
@@ -235,7 +235,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
     tune(spark)
-    found = describe(docs, doc_id, text)
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")), "suffix-rows")
+    found = describe(rows)
+    rows = rows.select("rid", "t")
     groups = materialize(found.where(F.col("n_bytes") >= LENGTH).groupBy("d1", "d2").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "suffix-groups")
     once = found.join(groups.select("rid"), "rid", "left_semi").select("rid", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("rid", F.col("x.keys").alias("key"), F.col("x.counts").alias("k"))
     often = once.groupBy("key").agg(F.sum("k").alias("n")).where("n > 1")
@@ -243,7 +245,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     own = materialize(own, "suffix-anchors")
     total = own.agg(F.sum(F.size("own"))).first()[0] or 0
     shards = max(1, total * 3 * LENGTH // 2 // SHARD_BYTES)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
     def cut(b):
         out = []

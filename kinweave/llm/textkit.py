@@ -132,10 +132,31 @@ def shingles(w: Words, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def sums_by_text(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Sums of values over the consecutive words of each text."""
-    c = np.concatenate([[0], np.cumsum(values)])
-    return c[first + count] - c[first]
+class Keys:
+    """Places of 64-bit hashes in a sorted array, found by an index of their upper bits; only the array is pickled."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = min(26, max(1, len(keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def __reduce__(self):
+        return Keys, (self.keys,)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it isn't there."""
+        cell = (h >> self.shift).astype(np.int64)
+        at, end = self.start[cell], self.start[cell + 1]
+        out = np.full(len(h), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.keys[at[live]] == h[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
 
 class Memo:
