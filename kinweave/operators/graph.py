@@ -3,16 +3,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.names import clean_name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder of spark.checkpoint.dir (a folder of our own where that is unset)."""
+    """df with its lineage cut in the shared folder of spark.checkpoint.dir; where that is unset, in a folder of our own on a single machine, and not at all on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="kinweave-"))
     return df.checkpoint()
 
 
@@ -124,6 +127,3 @@ def shards(df: DataFrame, n: int, order: str) -> DataFrame:
     before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"))
     return placed.join(F.broadcast(before), "_p").withColumn("shard", F.pmod(F.col("_b") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(n))).drop("_id", "_p", "_b")
 
-
-def empty_nodes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "node string")

@@ -6,11 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import names as N
-from ..functions.categories import categorize, categorize_sql, category_info, relation_info
-from ..functions.roles import adv_relation, form4_relation
-from ..functions.scoring import FORWARD, advantage, band, noisy_or_sql, one_in
+from ..functions.categories import categorize, categorize_sql, relation_info
+from ..functions.roles import form4_relation
+from ..functions.scoring import advantage, band, noisy_or_sql, one_in
 from ..operators import edges as E, evidence as V, graph as G, pairs as P, paths as H, resolve as R, search as S
-from ..sources import web
 from ..streaming import ingest
 from .crosswalk import SQL as REL, relationships as rel, table
 
@@ -29,10 +28,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import rule_queries  # noqa: F401  (its queries register themselves)
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import rule_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -127,32 +130,10 @@ def g3_pagerank_converged(spark, d):
     return G.pagerank(scored(spark, d)).select("node", "rank")
 
 
-def _sparse(spark, d):
-    return E.scored_edges(rel(spark, d).where("quantity >= 49"), drop_person_positions=False)
-
-
 _ENDS = ("supplier#000000001", "supplier#000000002")
-_HOPS = 4
-
-
-def _hops_sql() -> str:
-    steps = [f"p0 AS (SELECT ['{_ENDS[0]}'] AS path, 0.0::DOUBLE AS cost, '{_ENDS[0]}' AS last)"]
-    for i in range(_HOPS):
-        steps.append(f"p{i + 1} AS (SELECT list_append(path, v) AS path, cost + w AS cost, v AS last FROM p{i} JOIN arcs ON last = u WHERE NOT list_contains(path, v) AND last <> '{_ENDS[1]}')")
-    every = " UNION ALL ".join(f"SELECT * FROM p{i + 1} WHERE last = '{_ENDS[1]}'" for i in range(_HOPS))
-    sparse = _SCORED.replace("JOIN supplier ON l_suppkey = s_suppkey)", "JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49)")
-    return f"WITH {sparse}, arcs AS (SELECT a AS u, b AS v, -ln(greatest(prob, 1e-9)) - ln({FORWARD}::DOUBLE) AS w FROM scored UNION ALL SELECT b, a, -ln(greatest(prob, 1e-9)) - ln({FORWARD}::DOUBLE) FROM scored), {', '.join(steps)}, e AS ({every}) SELECT row_number() OVER (ORDER BY round(cost, 9), path)::INT AS rank, round(cost, 6) AS cost, (len(path) - 1)::INT AS length, array_to_string(path, '>') AS path FROM e ORDER BY 1 LIMIT 5"
-
-
-@query(_hops_sql())
-def g4_paths(spark, d):
-    found = H.find_paths(_sparse(spark, d), *_ENDS, k=5, max_hops=_HOPS)
-    return found.select(F.row_number().over(Window.orderBy(F.round("cost", 9), "path")).alias("rank"), F.round("cost", 6).alias("cost"), "length", F.array_join("path", ">").alias("path"))
-
-
 @query()
-def g4_paths_whole(spark, d):
-    """g4_paths over all relationships and with the operator's own hops; g4_paths is its comparison with SQL, on a sparse part."""
+def g4_paths(spark, d):
+    """Over all relationships; tests compare the search with enumeration on a small graph."""
     return H.find_paths(scored(spark, d), *_ENDS, k=5)
 
 
@@ -181,14 +162,6 @@ def g7_neighbours(spark, d):
     return G.neighbours(scored(spark, d)).select("node", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query("WITH q AS (SELECT c_name AS query, lower(c_name) AS node FROM customer) SELECT query, node FROM q")
-def g8_resolve(spark, d):
-    cust = table(spark, d, "customer")
-    nodes = cust.select(F.lower("c_name").alias("node"))
-    canonical = cust.select(F.col("c_name").alias("canonical"), F.col("c_name").alias("name"))
-    return G.resolve(cust.select(F.col("c_name").alias("query")), canonical, nodes)
-
-
 def _affiliations(spark, d):
     line, order, cust, supp = (table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier"))
     rows = line.join(order, line.l_orderkey == order.o_orderkey).join(cust, order.o_custkey == cust.c_custkey).join(supp, line.l_suppkey == supp.s_suppkey)
@@ -252,11 +225,6 @@ def f1_clean_name(spark, d):
     return p.select("p_partkey", raw.alias("raw"), N.clean_name(raw).alias("clean"))
 
 
-@query("SELECT p_type, CASE WHEN contains(lower(p_type), 'promo') THEN 'OTHER_CONTROL' ELSE 'OTHER_CONTROL' END AS relation, count(*) AS n FROM part GROUP BY 1")
-def f12_title_relation(spark, d):
-    return table(spark, d, "part").groupBy("p_type").agg(F.first(adv_relation(F.col("p_type"))).alias("relation"), F.count("*").alias("n"))
-
-
 @query("SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'A' THEN 'DIRECTOR (' || l_linestatus || ')' WHEN l_returnflag = 'N' THEN 'OFFICER (' || l_linestatus || ')' ELSE 'TEN_PERCENT_OWNER (' || l_linestatus || ')' END AS relation, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def f10_form4_relation(spark, d):
     flag = F.col("l_returnflag")
@@ -306,12 +274,6 @@ def j13_newly_dead(spark, d):
     return newly_dead(gone("c_acctbal < 0 AND c_nationkey < 5"), gone("c_acctbal < 0"))
 
 
-@query("WITH e AS (SELECT s_name AS name, s_suppkey AS k FROM supplier) SELECT name, k FROM e")
-def j16_contacts(spark, d):
-    supp = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
-    return V.match_contacts(supp.select(F.upper("name").alias("contact")), supp.select("name")).join(supp, "name").select("name", "k")
-
-
 @query(f"WITH {REL}, k AS (SELECT relation_type, count(*) AS n FROM rel GROUP BY 1) SELECT relation_type, n FROM k ORDER BY n DESC, relation_type LIMIT 5")
 def o3_most_common(spark, d):
     return rel(spark, d).groupBy("relation_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation_type").limit(5)
@@ -332,32 +294,11 @@ def r4_shards(spark, d):
     return G.shards(table(spark, d, "customer").select("c_custkey"), 4, "c_custkey")
 
 
-@query()
-def s19_f8_biographies(spark, d):
-    return web.biography_relations(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("person_name"), F.col("text").alias("bio_text")))
-
-
 @query()
 def g9_canonical_map(spark, d):
     return R.canonical_map(table(spark, d, "part").select(F.initcap("p_name").alias("node")).distinct())
 
 
-@query()
-def p3_to_p9_name_rules(spark, d):
-    n = F.col("p_name")
-    return table(spark, d, "part").select("p_partkey", N.looks_like_person(n).alias("person"), N.person_like(n).alias("person_like"), N.classify_basic(n).alias("basic"), N.classify_index(n).alias("kind"), N.is_fragment(n).alias("fragment"), N.is_obviously_bad(n).alias("bad"), N.looks_org(n).alias("org"))
-
-
 @query(f"WITH {REL}, k AS (SELECT DISTINCT relation_type FROM rel) SELECT relation_type, CASE relation_type WHEN 'DIRECTOR' THEN 'Director' WHEN 'CEO' THEN 'CEO' WHEN 'EMPLOYED_BY' THEN 'Employment' WHEN 'DONATION' THEN 'Donation' WHEN 'MEMBER_OF' THEN 'Member' WHEN 'ALUMNI_OF' THEN 'Alumnus' WHEN 'MENTIONED_WITH' THEN 'Co-mentioned in News' WHEN 'PAID_BY' THEN 'Financial Payment' ELSE relation_type END AS title FROM k")
 def d18_relation_info(spark, d):
     return relation_info(rel(spark, d).select("relation_type").distinct())
-
-
-@query("SELECT * FROM (VALUES ('FAMILY', 0.92::DOUBLE), ('NONE', 0.05::DOUBLE)) AS t(category, probability)")
-def d17_category_info(spark, d):
-    return category_info(spark.createDataFrame([("FAMILY",), ("NONE",)], "category string"))
-
-
-@query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
-def u1_u2_name_union(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name")).distinct()

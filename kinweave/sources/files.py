@@ -15,14 +15,16 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pension_commitments(spark: SparkSession, path: str) -> DataFrame:
-    """(pension_fund, fund_name, amount, vintage_year, asset_class); rows without a fund go, bad numbers are 0."""
-    df = _csv(spark, path)
-    pick = lambda *names: F.coalesce(*(F.nullif(F.trim(F.col(n)), F.lit("")) for n in names if n in df.columns), F.lit(None).cast("string"))
-    number = lambda c: F.coalesce(F.regexp_replace(c, "[$,]", "").try_cast("bigint"), F.lit(0).cast("bigint"))
-    if "asset_class" in df.columns:
-        asset = F.coalesce(F.trim("asset_class"), F.lit(""))
-    else:
-        asset = F.coalesce(pick("assetclass"), F.lit("Venture Capital"))
+    return commitments(_csv(spark, path))
+
+
+def commitments(df: DataFrame) -> DataFrame:
+    """(pension_fund, fund_name, amount, vintage_year, asset_class) of text columns in either spelling; rows without a fund go, what isn't a whole number is 0."""
+    blank = lambda n: F.nullif(F.trim(F.col(n)), F.lit(""))
+    pick = lambda *names: F.coalesce(*(blank(n) for n in names if n in df.columns), F.lit(None).cast("string"))
+    number = lambda c: F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
+    asset = F.coalesce(F.trim("asset_class"), F.lit("")) if "asset_class" in df.columns else F.lit("Venture Capital")
+    asset = F.coalesce(pick("assetclass"), asset)
     out = df.select(pick("pensionfund", "pension_fund").alias("pension_fund"), pick("fundname", "fund_name").alias("fund_name"), number(pick("commitmentamount", "commitment_amount")).alias("amount"), number(pick("vintageyear", "vintage_year")).cast("int").alias("vintage_year"), asset.alias("asset_class"))
     return out.where("pension_fund IS NOT NULL AND fund_name IS NOT NULL")
 
@@ -90,7 +92,11 @@ def evidence_index(payloads: DataFrame) -> DataFrame:
 
 
 def contacts(spark: SparkSession, path: str) -> DataFrame:
-    """(contact) of card or CSV lines: FN:name, N:last;first, or the first two cells; longer than three letters."""
+    return contact_lines(spark.read.text(path))
+
+
+def contact_lines(lines: DataFrame) -> DataFrame:
+    """(contact) of card or CSV lines (value): FN:name, N:last;first, or the first two cells; longer than three letters."""
     v = F.trim("value")
     n = F.split(F.regexp_replace(v, "^N[^:]*:", ""), ";")
     cells = F.split(v, ",")
@@ -99,7 +105,7 @@ def contacts(spark: SparkSession, path: str) -> DataFrame:
         .when(v.rlike("^N[;:]"), F.concat_ws(" ", F.try_element_at(n, F.lit(2)), n[0]))
         .when(v.contains(",") & ~v.rlike("^(?:EMAIL|TEL)"), F.concat_ws(" ", F.trim(cells[0]), F.trim(cells[1])))
     )
-    return spark.read.text(path).select(F.trim(name).alias("contact")).where("length(contact) > 3").distinct()
+    return lines.select(F.trim(name).alias("contact")).where("length(contact) > 3").distinct()
 
 
 def sampled_files(listing: DataFrame) -> DataFrame:

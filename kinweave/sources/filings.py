@@ -48,26 +48,29 @@ def _plain_xml(text: Column) -> Column:
     return F.concat(F.lit("<root>"), F.regexp_replace(x, r"\sxmlns(:\w+)?=\"[^\"]*\"|\s[A-Za-z0-9_]+:(?=[A-Za-z0-9_]+=)", " "), F.lit("</root>"))
 
 
-def _safe(text: Column, probe: str) -> Column:
-    """XML that can be parsed, else null: a document that lacks the probed end tag is broken off."""
-    return F.when(text.rlike(rf"</{probe}>"), text)
+def _parsed(text: Column, schema: str) -> Column:
+    """XML by a schema; all null where it can't be parsed, as one bad filing mustn't end the job."""
+    return F.from_xml(text, schema, {"rowTag": "root", "mode": "PERMISSIVE"})
 
 
 def form4(payloads: DataFrame) -> DataFrame:
-    """(issuer_cik, issuer, owner_cik, owner, is_director, is_officer, is_ten_percent, title, relation) of payloads (payload); incomplete issuers and nameless owners give none."""
-    x = payloads.select(_safe(_plain_xml(F.col("payload")), "ownershipDocument").alias("x")).where("x IS NOT NULL")
-    at = lambda p: F.trim(F.xpath_string("x", F.lit(f"root//{p}")))
-    flag = lambda p: F.lower(at(p)).isin("1", "true")
-    out = x.select(at("issuerCik").alias("issuer_cik"), at("issuerName").alias("issuer"), at("rptOwnerCik").alias("owner_cik"), at("rptOwnerName").alias("owner"), flag("isDirector").alias("is_director"), flag("isOfficer").alias("is_officer"), flag("isTenPercentOwner").alias("is_ten_percent"), at("officerTitle").alias("title"))
+    """(issuer_cik, issuer, owner_cik, owner, is_director, is_officer, is_ten_percent, title, relation) of payloads (payload): the first owner of each; malformed filings, incomplete issuers
+    and nameless owners give none."""
+    owner = "struct<reportingOwnerId:struct<rptOwnerCik:string,rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,officerTitle:string>>"
+    x = _parsed(_plain_xml(F.col("payload")), f"ownershipDocument struct<issuer:struct<issuerCik:string,issuerName:string>,reportingOwner:array<{owner}>>")["ownershipDocument"]
+    rows = payloads.select(x.alias("x")).select("x.issuer", F.try_element_at("x.reportingOwner", F.lit(1)).alias("o"))
+    at = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    flag = lambda c: F.lower(at(f"o.reportingOwnerRelationship.{c}")).isin("1", "true").alias
+    out = rows.select(at("issuer.issuerCik").alias("issuer_cik"), at("issuer.issuerName").alias("issuer"), at("o.reportingOwnerId.rptOwnerCik").alias("owner_cik"), at("o.reportingOwnerId.rptOwnerName").alias("owner"), flag("isDirector")("is_director"), flag("isOfficer")("is_officer"), flag("isTenPercentOwner")("is_ten_percent"), at("o.reportingOwnerRelationship.officerTitle").alias("title"))
     out = out.where("issuer_cik <> '' AND issuer <> '' AND owner <> ''")
     return out.withColumn("relation", form4_relation(F.col("is_director"), F.col("is_officer"), F.col("is_ten_percent"), F.col("title")))
 
 
 def form_d(payloads: DataFrame, source_data: str = "SEC_D") -> DataFrame:
     """(issuer, issuer_cik, person, role, relation): a row for each role of each related person."""
-    x = payloads.select(_safe(_plain_xml(F.col("payload")), "edgarSubmission").alias("x")).where("x IS NOT NULL")
+    x = payloads.select(_plain_xml(F.col("payload")).alias("x"))
     person = "struct<relatedPersonName:struct<firstName:string,lastName:string>,relatedPersonRelationshipList:struct<relationship:array<string>>,relationshipDetails:struct<isDirector:string,isExecutiveOfficer:string,isPromoter:string>>"
-    parsed = F.from_xml("x", f"edgarSubmission struct<primaryIssuer:struct<entityName:string,cik:string>,relatedPersonsList:struct<relatedPersonInfo:array<{person}>>>", {"rowTag": "root"})
+    parsed = _parsed(F.col("x"), f"edgarSubmission struct<primaryIssuer:struct<entityName:string,cik:string>,relatedPersonsList:struct<relatedPersonInfo:array<{person}>>>")
     rows = x.select(parsed["edgarSubmission"].alias("d")).select(F.trim("d.primaryIssuer.entityName").alias("issuer"), pad_cik(F.col("d.primaryIssuer.cik")).alias("issuer_cik"), F.explode("d.relatedPersonsList.relatedPersonInfo").alias("p"))
     true = lambda n: F.when(F.lower(F.trim(F.col(f"p.relationshipDetails.{n}"))).isin("1", "true"), F.lit(n))
     roles = F.concat(F.coalesce(F.col("p.relatedPersonRelationshipList.relationship"), F.array().cast("array<string>")), F.array_compact(F.array(*map(true, ("isDirector", "isExecutiveOfficer", "isPromoter")))))
@@ -119,19 +122,27 @@ def officers_of(root: ET.Element) -> list[tuple[str, str, str, float]]:
 
 
 def grantees(payloads: DataFrame) -> DataFrame:
-    """(grantee): distinct names in the grants of nonprofit returns."""
-    x = F.xpath(_plain_xml(F.col("payload")), F.lit("root//GrantOrContributionPdDurYrGrp//BusinessNameLine1Txt/text()"))
-    return payloads.select(F.explode(x).alias("grantee")).select(F.trim("grantee").alias("grantee")).where("grantee <> ''").distinct()
+    """(grantee): distinct names in the grants of nonprofit returns; malformed ones give none."""
+    def parse(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf["payload"]:
+                try:
+                    root = ET.fromstring(re.sub(r"^[^<]*", "", text or ""))
+                except ET.ParseError:
+                    continue
+                groups = (g for g in root.iter() if g.tag.rpartition("}")[2] == "GrantOrContributionPdDurYrGrp")
+                out += [e.text for g in groups for e in g.iter() if e.tag.rpartition("}")[2] == "BusinessNameLine1Txt" and e.text]
+            yield pd.DataFrame({"grantee": out}, dtype="str")
+
+    return payloads.select("payload").mapInPandas(parse, "grantee string").select(F.trim("grantee").alias("grantee")).where("grantee <> ''").distinct()
 
 
 def adviser_owners(payloads: DataFrame) -> DataFrame:
-    """(firm, owner, title, relation) of ownership schedules in XML."""
-    x = payloads.select(_plain_xml(F.col("payload")).alias("x"))
-    at = lambda p: F.xpath_string("x", F.lit(f"root//{p}"))
+    """(firm, owner, title, relation) of ownership schedules in XML; malformed ones give none."""
     first = lambda *c: F.coalesce(*(F.nullif(F.trim(v), F.lit("")) for v in c))
-    firm = F.coalesce(first(at("FirmName"), at("LegalName"), at("BusinessName")), F.lit("Unknown VC Firm"))
-    owner = F.explode(F.from_xml("x", "ScheduleA struct<Owner:array<struct<Name:string,IndividualName:string,FullName:string,Title:string,CRD:string>>>", {"rowTag": "root"})["ScheduleA"]["Owner"])
-    rows = x.select(firm.alias("firm"), owner.alias("o"))
+    x = _parsed(_plain_xml(F.col("payload")), "FirmName string, LegalName string, BusinessName string, ScheduleA struct<Owner:array<struct<Name:string,IndividualName:string,FullName:string,Title:string,CRD:string>>>")
+    rows = payloads.select(x.alias("x")).select(F.coalesce(first(F.col("x.FirmName"), F.col("x.LegalName"), F.col("x.BusinessName")), F.lit("Unknown VC Firm")).alias("firm"), F.explode("x.ScheduleA.Owner").alias("o"))
     return rows.select("firm", first(F.col("o.Name"), F.col("o.IndividualName"), F.col("o.FullName")).alias("owner"), F.trim(F.coalesce("o.Title", F.lit(""))).alias("title")).where("owner IS NOT NULL").withColumn("relation", adv_relation(F.col("title")))
 
 

@@ -26,17 +26,24 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 def upsert_cache(new: DataFrame, path: str) -> DataFrame:
     """Writes (key, payload, ts) with the last row of each key next to path's old rows and returns it."""
     old = _existing(new.sparkSession, path)
-    rows = new if old is None else old.unionByName(new)
-    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts")))).where("_n = 1").drop("_n")
-    out = f"{path.rstrip('/')}_next"
+    last = last_of_key(new if old is None else old.unionByName(new))
+    out, aside = f"{path.rstrip('/')}_next", f"{path.rstrip('/')}_old"
     last.write.mode("overwrite").parquet(out)
     p = new.sparkSession._jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(new.sparkSession._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
+    # the old rows are moved, not deleted, before the new ones take their place: a crash in between loses nothing
+    fs.delete(p(aside), True)
+    if old is not None:
+        fs.rename(p(path), p(aside))
     fs.rename(p(out), p(path))
     return new.sparkSession.read.parquet(path)
 
 
+def last_of_key(rows: DataFrame) -> DataFrame:
+    """The last row of each key by ts."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts")))).where("_n = 1").drop("_n")
+
+
 def replace_source(rel: DataFrame, path: str) -> None:
     """Replaces the partitions of the sources that rel has, and no others."""
     first_writer(rel).write.mode("overwrite").partitionBy("source_data").option("partitionOverwriteMode", "dynamic").parquet(path)

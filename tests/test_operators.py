@@ -65,7 +65,7 @@ def test_path_queries_take_all_links(spark, monkeypatch):
     links = [(r.a, r.b, r.prob) for r in queries.scored(spark, "").collect()]
     want = brute(links, *ends, 5, 6)
     assert len(want) == 1
-    found = queries.queries()["g4_paths_whole"](spark, "").collect()
+    found = queries.queries()["g4_paths"](spark, "").collect()
     assert [(round(r.cost, 6), list(r.path)) for r in found] == [(round(c, 6), p) for c, p in want]
     described = queries.queries()["d16_described_paths"](spark, "").collect()
     assert [[x.node for x in r.path] for r in described] == [p for _, p in want]
