@@ -1,7 +1,7 @@
 """Personal data by rules and a semi-Markov conditional random field.
 
 Rules give the base spans; they always stay. The model's segments are runs of at most MAX_TOKENS tokens (letters, digits, or one other character) that begin and end
-on a token of their kind and hold either four to MAX_DIGITS digits, apart by at most three marks or blanks, or an at mark, plain or written out. Each segment
+on a token of their kind and hold either four to MAX_DIGITS digits in at most MAX_GROUPS runs, apart by at most three marks or blanks, or an at mark, plain or written out. Each segment
 has whole-span features (digit counts, check sums, separators, neighbours, the word before) weighed for each kind, and each
 step from one label to the next a weight of its own. The probability of a segmentation is its exponentiated score over that of all segmentations of
 the text; as a token that lies in no segment has but one label, this falls apart into the windows that segments cover. Weights maximise
@@ -14,6 +14,8 @@ text's length; other columns play no part; an empty table gives no rows.
 """
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import random
 import re
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_sample, by_batch, tune
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS, MAX_DIGITS = 24, 19
+MAX_TOKENS, MAX_DIGITS, MAX_GROUPS = 24, 19, 6
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
 # Fixed by the contract; possessive and anchored at what each must hold, so that no run is scanned more than once.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -86,6 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+@functools.lru_cache(maxsize=50_000)
 def _features(s: str, left: str, right: str, cue: str) -> list[str]:
     groups = _DIGIT.findall(s)
     n = sum(map(len, groups))
@@ -141,10 +144,11 @@ def segments(text: str, a: int, b: int, mail: bool) -> tuple[list[int], list[tup
         c = text[bounds[i]]
         if not (c.isalnum() or c in "+("):
             continue
-        n = 0
+        n = groups = 0
         for j in range(i + 1, min(last, i + MAX_TOKENS) + 1):
             n += digits[j - 1]
-            if n > MAX_DIGITS and not mail:
+            groups += digits[j - 1] > 0
+            if (n > MAX_DIGITS or groups > MAX_GROUPS) and not mail:
                 break
             e = bounds[j]
             if not (text[e - 1].isalnum() or text[e - 1] in ")]") or not mail and n < 4:
@@ -156,6 +160,27 @@ def segments(text: str, a: int, b: int, mail: bool) -> tuple[list[int], list[tup
     return bounds, out
 
 
+class Covered:
+    """What spans cover, as runs that don't touch."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for _, a, b in sorted(spans, key=lambda x: x[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.starts, a) - 1
+        return i >= 0 and b <= self.ends[i]
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+
 NONE = len(KINDS)
 
 
@@ -206,9 +231,9 @@ class Model:
 
     def spans(self, text: str, taken: list[tuple[str, int, int]] = ()) -> list[tuple[str, int, int]]:
         """Of windows that don't lie in taken spans, whose own would touch these."""
-        out = []
+        out, held = [], Covered(taken)
         for a, b, mail in windows(text):
-            if any(x <= a and b <= y for _, x, y in taken):
+            if held.holds(a, b):
                 continue
             bounds, segs = segments(text, a, b, mail)
             if segs:
@@ -378,7 +403,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 def find(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans in the same order."""
     base = base_spans(text)
-    more = [x for x in model.spans(text, base) if not any(y[1] < x[2] and x[1] < y[2] for y in base)]
+    held = Covered(base)
+    more = [x for x in model.spans(text, base) if not held.touches(x[1], x[2])]
     return base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
