@@ -1,6 +1,7 @@
 """numpy kernels over many texts at once: byte buffers of Arrow columns, word bounds, word hashes, shingles."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,14 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = []
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker that is used again would else keep it between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
