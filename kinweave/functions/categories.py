@@ -53,10 +53,19 @@ PROBABILITY = {
 CO_EMPLOYMENT = ("CO_DIRECTOR", "CO_EXECUTIVE", "CO_OFFICER", "EMPLOYMENT", "SAME_ORG_OVERLAP", "SEC_INSIDER")
 
 
+def normal(relation: Column) -> Column:
+    """What the rules compare."""
+    return F.trim(F.upper(F.coalesce(relation, F.lit(""))))
+
+
 def categorize(relation: Column) -> Column:
-    r = F.trim(F.upper(F.coalesce(relation, F.lit(""))))
+    return category(normal(relation))
+
+
+def category(r: Column, values: dict | None = None) -> Column:
+    """The category of a relation in normal form, or what values has for it."""
     out = None
-    for category, how, words in RULES:
+    for name, how, words in RULES:
         words = words.split(",")
         if how == "is":
             test = r.isin(words)
@@ -64,8 +73,9 @@ def categorize(relation: Column) -> Column:
             test = r.startswith(words[0])
         else:
             test = r.rlike("|".join(words))
-        out = F.when(test, category) if out is None else out.when(test, category)
-    return out.otherwise("OTHER")
+        value = F.lit(values[name] if values else name)
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return out.otherwise(F.lit(values["OTHER"] if values else "OTHER"))
 
 
 def categorize_sql(relation: str) -> str:

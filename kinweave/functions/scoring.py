@@ -19,16 +19,43 @@ def used_categories(cats: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(rest, F.array(shared)))))
 
 
-def noisy_or(cats: Column) -> Column:
-    """1 - product of (1 - p) over the categories that count, in a fixed order; null without any."""
+def _missed(has) -> Column:
+    """Product of (1 - p) over the categories that count, in a fixed order; has: category -> Column."""
     shared = None
     for c in sorted(CO_EMPLOYMENT, key=lambda c: (-PROBABILITY[c], c)):
-        test, value = F.array_contains(cats, c), F.lit(1.0) - F.lit(PROBABILITY[c])
+        test, value = has(c), F.lit(1.0) - F.lit(PROBABILITY[c])
         shared = F.when(test, value) if shared is None else shared.when(test, value)
     out = shared.otherwise(F.lit(1.0))
     for c in _OTHERS:
-        out = out * F.when(F.array_contains(cats, c), F.lit(1.0) - F.lit(PROBABILITY[c])).otherwise(F.lit(1.0))
-    return F.when(F.size(used_categories(cats)) > 0, F.lit(1.0) - out)
+        out = out * F.when(has(c), F.lit(1.0) - F.lit(PROBABILITY[c])).otherwise(F.lit(1.0))
+    return out
+
+
+def noisy_or(cats: Column) -> Column:
+    """1 - product of (1 - p) over the categories that count, in a fixed order; null without any."""
+    return F.when(F.size(used_categories(cats)) > 0, F.lit(1.0) - _missed(lambda c: F.array_contains(cats, c)))
+
+
+#: Categories as bits of a number, for pairs by the million: bit_or needs no sets. A same-entity mark has none, as it doesn't count.
+BITS = {c: 1 << i for i, c in enumerate(sorted(PROBABILITY))} | {"SAME_ENTITY": 0}
+
+
+def _has(bits: Column):
+    return lambda c: bits.bitwiseAND(F.lit(BITS[c])) != 0
+
+
+def noisy_or_bits(bits: Column) -> Column:
+    """noisy_or of bits, of which one is set."""
+    return F.lit(1.0) - _missed(_has(bits))
+
+
+def used_bits(bits: Column) -> Column:
+    """used_categories of bits."""
+    likelier, tests, has = 0, {}, _has(bits)
+    for c in sorted(CO_EMPLOYMENT, key=lambda c: (-PROBABILITY[c], c)):
+        tests[c] = has(c) & (bits.bitwiseAND(F.lit(likelier)) == 0)
+        likelier |= BITS[c]
+    return F.array_compact(F.array(*(F.when(tests[c] if c in tests else has(c), F.lit(c)) for c in sorted(PROBABILITY))))
 
 
 def noisy_or_sql(cats: str) -> str:

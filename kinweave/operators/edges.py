@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.categories import categorize
+from ..functions.categories import category, normal
 from ..functions.names import looks_like_person
-from ..functions.scoring import noisy_or, used_categories
+from ..functions.scoring import BITS, noisy_or_bits, used_bits
 
 # Fixed values.
 DROPPED = ("FELLOW_REPRESENTATIVE", "FELLOW_SENATOR", "OWNERSHIP")
@@ -46,10 +46,15 @@ def clean_counts(rel: DataFrame) -> DataFrame:
     return rel.agg(F.count("*").alias("raw"), n(F.coalesce(bad, F.lit(True))).alias("bad_ends"), n(~F.coalesce(bad, F.lit(True)) & dropped).alias("dropped_relation"))
 
 
+def _ends(rel: DataFrame) -> DataFrame:
+    """(a, b, relation): lower-cased, a < b."""
+    s, t = F.lower("source_name"), F.lower("target_name")
+    return rel.select(F.least(s, t).alias("a"), F.greatest(s, t).alias("b"), F.col("relation_type").alias("relation")).where("a <> b")
+
+
 def pair_relations(rel: DataFrame) -> DataFrame:
     """(a, b, relation): distinct, lower-cased, a < b."""
-    s, t = F.lower("source_name"), F.lower("target_name")
-    return rel.select(F.least(s, t).alias("a"), F.greatest(s, t).alias("b"), F.col("relation_type").alias("relation")).where("a <> b").distinct()
+    return _ends(rel).distinct()
 
 
 def with_overlaps(pairs: DataFrame, overlaps: DataFrame) -> DataFrame:
@@ -62,18 +67,21 @@ def with_overlaps(pairs: DataFrame, overlaps: DataFrame) -> DataFrame:
 
 def score(pairs: DataFrame) -> DataFrame:
     """(a, b, prob, cats): one row for each pair with a category that counts."""
-    cats = pairs.groupBy("a", "b").agg(F.collect_set(categorize(F.col("relation"))).alias("all"))
-    return cats.select("a", "b", noisy_or(F.col("all")).alias("prob"), used_categories(F.col("all")).alias("cats")).where("prob IS NOT NULL")
+    pairs = pairs.select("a", "b", normal(F.col("relation")).alias("r"))
+    found = pairs.groupBy("a", "b").agg(F.bit_or(category(F.col("r"), BITS)).alias("bits")).where("bits <> 0")
+    return found.select("a", "b", noisy_or_bits(F.col("bits")).alias("prob"), used_bits(F.col("bits")).alias("cats"))
 
 
 def scored_edges(rel: DataFrame, overlaps: DataFrame | None = None, drop_person_positions: bool = True) -> DataFrame:
-    pairs = pair_relations(clean(rel, drop_person_positions))
-    return score(pairs if overlaps is None else with_overlaps(pairs, overlaps))
+    kept = clean(rel, drop_person_positions)
+    return score(_ends(kept) if overlaps is None else with_overlaps(pair_relations(kept), overlaps))
 
 
-def display_names(rel: DataFrame) -> DataFrame:
-    """(node, label): the first spelling of each lower-cased name."""
+def display_names(rel: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, label): the first spelling of each lower-cased name; nodes (node): only of these few."""
     both = rel.select("ingest_seq", F.lit(0).alias("side"), F.col("source_name").alias("n")).union(rel.select("ingest_seq", F.lit(1), "target_name"))
+    if nodes is not None:
+        both = both.join(F.broadcast(nodes), F.lower("n") == nodes.node, "left_semi")
     return both.where("n IS NOT NULL AND n <> ''").groupBy(F.lower("n").alias("node")).agg(F.min_by("n", F.struct("ingest_seq", "side")).alias("label"))
 
 

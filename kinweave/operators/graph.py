@@ -2,23 +2,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.names import clean_name
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder of spark.checkpoint.dir; where that is unset, in a folder of our own on a single machine, and not at all on a cluster."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own on a single machine, and none on a cluster."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="kinweave-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder, its partitions kept."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder: computed once, where a checkpoint computes its last stage twice."""
+    path = f"{_shared(df.sparkSession)}/kinweave/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def compile_graph(rel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Directed graph of cleaned names: nodes (id, type, ext_id) with the first known attributes, edges (src, dst, relation, source) of the last row."""
     rows = rel.select("ingest_seq", clean_name(F.col("source_name")).alias("src"), clean_name(F.col("target_name")).alias("dst"), "source_type", "target_type", "source_id", "target_id", "relation_type", "source_data").where("src <> '' AND dst <> ''")

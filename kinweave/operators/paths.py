@@ -1,8 +1,10 @@
 """The k most probable simple paths between two nodes.
 
-Costs are -ln(p) - ln(forward), so the least cost is the likeliest path. h(node) is the least cost to the target over at most max_hops links, from as many min-relaxations.
-A frontier of partial paths grows by one link a round; what can't reach the target below the k-th best cost known goes (strictly: ties stay). The result is exact for
-max_hops; exact says that it is so without that bound: k paths were found and a longer one would cost more.
+Costs are -ln(p) - ln(forward), so the least cost is the likeliest path. h(node) is the least cost to the target over at most max_hops - 1 links without the source, found from the
+target outwards, one link a round, from the nodes that the last round brought nearer. Each neighbour v of the source has a simple path of cost w + h(v), all of them different, so the
+k-th least of these bounds the k-th best path; nodes that no path below the bound can use aren't followed. A frontier of partial paths then grows by one link a round over the links
+that are left; what can't reach the target below the bound goes (strictly: ties stay). The result is exact for max_hops; exact says that it is so without that bound: k paths were
+found and a longer one would cost more.
 """
 from __future__ import annotations
 
@@ -11,45 +13,88 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scoring import FORWARD, band, edge_weight, forward, guided, one_in, primary, product
-from .graph import checkpointed
+from .graph import written
 
+#: Nodes up to which they go to the links instead of the links to them.
+FEW = 100_000
 FIELDS = "rank int, cost double, length int, path array<string>, exact boolean"
 
 
-def find_paths(scored: DataFrame, source: str, target: str, k: int = 5, max_hops: int = 6, exclude: DataFrame | None = None) -> DataFrame:
-    """(rank, cost, length, path, exact); ties by path. Excluded nodes may still be the ends. No path: no rows. One node: a path of no link."""
+def _near(edges: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+    """(u, v, w, x) of the links at nodes (node, x), from either end: v is the node, u the other end."""
+    if few:
+        nodes = F.broadcast(nodes)
+    there = edges.join(nodes, edges.b == nodes.node).select(F.col("a").alias("u"), F.col("b").alias("v"), "w", "x")
+    return there.unionByName(edges.join(nodes, edges.a == nodes.node).select(F.col("b").alias("u"), F.col("a").alias("v"), "w", "x"))
+
+
+def _within(cost, bound: float):
+    return cost <= F.lit(bound * (1 + 1e-12) if bound < math.inf else 1e300)
+
+
+def _reach(edges: DataFrame, source: str, target: str, k: int, max_hops: int) -> tuple[DataFrame, float]:
+    """(node, h) of the nodes that a path below the bound may use, and the bound."""
+    spark = edges.sparkSession
+    first = written(_near(edges, spark.createDataFrame([(source, 0)], "node string, x int"), True).select(F.col("u").alias("node"), "w").where(F.col("node") != source))
+    least = first.agg(F.min("w")).first()[0]
+    reach = spark.createDataFrame([(target, 0.0)], "node string, h double")
+    bound = math.inf
+    if least is None:
+        return reach, bound
+    moved, n = reach, 1
+    for hops in range(max_hops):
+        # each neighbour of the source has a path of its own
+        best = [r[0] for r in first.join(reach, "node").select((F.col("w") + F.col("h")).alias("c")).orderBy("c").limit(k).collect()]
+        bound = best[-1] if len(best) == k else math.inf
+        if hops == max_hops - 1:
+            break
+        step = _near(edges, moved.select("node", F.col("h").alias("x")), n <= FEW).where(F.col("u") != source).groupBy(F.col("u").alias("node")).agg(F.min(F.col("w") + F.col("x")).alias("new"))
+        step = step.where(_within(F.col("new") + F.lit(least), bound)).join(reach, "node", "left")
+        moved = written(step.where("h IS NULL OR new < h").select("node", F.col("new").alias("h")))
+        n = moved.count()
+        if not n:
+            break
+        reach = written(reach.unionByName(moved).groupBy("node").agg(F.min("h").alias("h")))
+    return written(reach.where(_within(F.col("h") + F.lit(least), bound))), bound
+
+
+def find_paths(scored: DataFrame, source: str, target: str, k: int = 5, max_hops: int = 6, exclude: DataFrame | None = None, cut: bool = True) -> DataFrame:
+    """(rank, cost, length, path, exact); ties by path. Excluded nodes may still be the ends. No path: no rows. One node: a path of no link. cut: scored's lineage is cut first,
+    as it is read several times; not needed for what is written."""
     from .graph import without
 
-    spark = scored.sparkSession
     source, target = source.lower().strip(), target.lower().strip()
     if source == target:
         here = scored.where((F.col("a") == source) | (F.col("b") == source)).limit(1)
         return here.select(F.lit(1).alias("rank"), F.lit(0.0).alias("cost"), F.lit(0).alias("length"), F.array(F.lit(source)).alias("path"), F.lit(True).alias("exact"))
     if exclude is not None:
         scored = without(scored, exclude, (source, target))
-    w = edge_weight(F.col("prob")).alias("w")
-    arcs = checkpointed(scored.select(F.col("a").alias("u"), F.col("b").alias("v"), w).union(scored.select("b", "a", w)))
-    reach = spark.createDataFrame([(target, 0.0)], "node string, h double")
-    for _ in range(max_hops):
-        step = arcs.join(reach, arcs.v == reach.node).select(F.col("u").alias("node"), (F.col("w") + F.col("h")).alias("h"))
-        reach = checkpointed(reach.union(step).groupBy("node").agg(F.min("h").alias("h")))
-    front = reach.where(F.col("node") == source).select(F.col("node").alias("last"), F.lit(0.0).alias("cost"), F.array("node").alias("path"))
-    done, bound = None, math.inf
+    edges = scored.select("a", "b", edge_weight(F.col("prob")).alias("w"))
+    if cut:
+        edges = written(edges)
+    reach, bound = _reach(edges, source, target, k, max_hops)
+    n = reach.count()
+    # links towards what a path may use; h: of the end they lead to
+    arcs = _near(edges, reach.withColumnRenamed("h", "x"), n <= FEW).withColumnRenamed("x", "h").where(F.col("v") != source)
+    starts = reach.where(F.col("node") != target).select(F.col("node").alias("u")).unionByName(edges.sparkSession.createDataFrame([(source,)], "u string")).distinct()
+    arcs = written(arcs.join(F.broadcast(starts) if n <= FEW else starts, "u", "left_semi"))
+    front = edges.sparkSession.createDataFrame([(source, 0.0, [source])], "last string, cost double, path array<string>")
+    done = None
     for _ in range(max_hops):
-        grown = front.join(arcs, front["last"] == arcs.u).where(~F.array_contains("path", F.col("v"))).select(F.col("v").alias("last"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("v")).alias("path"))
-        grown = grown.join(reach, grown["last"] == reach.node).where(F.col("cost") + F.col("h") <= F.lit(bound * (1 + 1e-12) if bound < math.inf else 1e300)).drop("node")
-        grown = checkpointed(grown)
+        grown = front.join(arcs, front["last"] == arcs.u).where(~F.array_contains("path", F.col("v"))).select(F.col("v").alias("last"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("v")).alias("path"), "h")
+        grown = written(grown.where(_within(F.col("cost") + F.col("h"), bound)))
         ended = grown.where(F.col("last") == target).select("cost", "path")
-        done = checkpointed((ended if done is None else done.union(ended)).orderBy("cost", "path").limit(k))
+        done = written((ended if done is None else done.union(ended)).orderBy("cost", "path").limit(k))
         worst, n = done.agg(F.max("cost"), F.count("*")).first()
-        bound = worst if n >= k else math.inf
+        bound = min(bound, worst) if n >= k else bound
         front = grown.where(F.col("last") != target).drop("h")
         if front.isEmpty():
             break
     longer = -math.log(FORWARD) * (max_hops + 1)
     from pyspark.sql import Window
 
-    return done.select(F.row_number().over(Window.orderBy("cost", "path")).alias("rank"), "cost", (F.size("path") - 1).alias("length"), "path", F.lit(bound < longer).alias("exact"))  # at most k rows
+    full = n >= k and worst < longer
+    return done.select(F.row_number().over(Window.orderBy("cost", "path")).alias("rank"), "cost", (F.size("path") - 1).alias("length"), "path", F.lit(full).alias("exact"))  # at most k rows
 
 
 def describe(paths: DataFrame, scored: DataFrame, labels: DataFrame | None = None, deceased: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:

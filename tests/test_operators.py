@@ -114,3 +114,23 @@ def test_resolution_and_matching(spark):
     h = names.select(evidence.salted(F.col("name"), "s").alias("hash"))
     assert tuple(evidence.private_counts(names, h.union(h), "s").first()) == (2, 4)
     assert tuple(evidence.private_counts(names, h, "").first()) == (0, 0)
+
+
+def test_paths_between_hubs_follow_few_links(spark, monkeypatch):
+    # two hubs with 40 common neighbours, behind each a tree that no good path uses: the bound is known before the frontier grows
+    links = [(h, f"m{i}", 0.9) for h in ("s", "t") for i in range(40)] + [(f"m{i}", f"x{i}{j}", 0.5) for i in range(40) for j in range(10)]
+    seen = []
+    monkeypatch.setattr(paths, "written", lambda df: seen.append(df.count()) or graph.written(df))
+    found = paths.find_paths(scored(spark, links), "s", "t", k=5).orderBy("rank").collect()
+    assert [tuple(r.path) for r in found] == [("s", m, "t") for m in sorted(f"m{i}" for i in range(40))[:5]] and all(r.exact for r in found)
+    assert seen[0] == len(links) and max(seen[1:]) <= 80
+
+
+def test_bits_score_like_sets(spark):
+    from kinweave.functions.categories import PROBABILITY
+    from kinweave.functions.scoring import BITS, noisy_or, noisy_or_bits, used_bits, used_categories
+
+    rng = random.Random(5)
+    rows = [rng.sample(sorted(PROBABILITY), rng.randint(1, 9)) for _ in range(200)] + [[c, "SAME_ENTITY"] for c in PROBABILITY]
+    df = spark.createDataFrame([(c, sum(BITS[x] for x in c)) for c in rows], "cats array<string>, bits long")
+    assert df.where(~noisy_or(F.col("cats")).eqNullSafe(noisy_or_bits(F.col("bits"))) | (used_categories(F.col("cats")) != used_bits(F.col("bits")))).count() == 0
