@@ -139,11 +139,13 @@ def g4_paths(spark, d):
 
 @query()
 def d16_described_paths(spark, d):
-    g = scored(spark, d)
+    g = G.written(scored(spark, d))
     r = rel(spark, d)
     gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.lower("c_name").alias("name_lower"), F.lit("2001-01-01").alias("death_date"))
-    found = H.find_paths(g, *_ENDS, k=5, exclude=gone.select(F.col("name_lower").alias("node")))
-    return H.describe(found, g, E.display_names(r), gone).withColumn("advantage", advantage(F.col("probability"), F.col("guided_probability")))
+    found = H.find_paths(g, *_ENDS, k=5, exclude=gone.select(F.col("name_lower").alias("node")), cut=False)
+    found = G.written(found)
+    named = E.display_names(r, found.select(F.explode("path").alias("node")).distinct())
+    return H.describe(found, g, named, gone).withColumn("advantage", advantage(F.col("probability"), F.col("guided_probability")))
 
 
 @query(f"WITH {_SCORED}, gone AS (SELECT lower(c_name) AS node FROM customer WHERE c_acctbal < 0) SELECT a, b, prob FROM scored WHERE a NOT IN (SELECT node FROM gone) AND b NOT IN (SELECT node FROM gone)")
