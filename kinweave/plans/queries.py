@@ -180,7 +180,7 @@ def _affiliations(spark, d):
  SELECT rel, count(*) AS n, sum(s)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM p GROUP BY 1"""
 )
 def j4_f18_overlap(spark, d):
-    return P.overlap_edges(_affiliations(spark, d)).groupBy("rel").agg(F.count("*").alias("n"), F.sum("start").cast("bigint").alias("starts"), F.sum("end").cast("bigint").alias("ends"))
+    return P.overlap_totals(_affiliations(spark, d))
 
 
 def _patents(spark, d):

@@ -134,3 +134,15 @@ def test_bits_score_like_sets(spark):
     rows = [rng.sample(sorted(PROBABILITY), rng.randint(1, 9)) for _ in range(200)] + [[c, "SAME_ENTITY"] for c in PROBABILITY]
     df = spark.createDataFrame([(c, sum(BITS[x] for x in c)) for c in rows], "cats array<string>, bits long")
     assert df.where(~noisy_or(F.col("cats")).eqNullSafe(noisy_or_bits(F.col("bits"))) | (used_categories(F.col("cats")) != used_bits(F.col("bits")))).count() == 0
+
+
+def test_overlap_totals_are_those_of_the_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    year = lambda: rng.choice([None, *range(2000, 2012)])
+    rows = [(f"p{i}", rng.choice(["P108", "P69"]), rng.choice(["o1", "o2", None]), "", year(), year()) for i in range(80)] + [("old", "P69", "o1", "", 1900, 1990)]
+    aff = spark.createDataFrame(rows, "person string, prop string, org string, org_label string, start_year int, end_year int").withColumn("org_label", F.col("org"))
+    want = pairs.overlap_edges(aff).groupBy("rel").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends")).collect()
+    assert sorted(map(tuple, want)) == sorted(map(tuple, pairs.overlap_totals(aff).collect())) and len(want) == 2
+    monkeypatch.setattr(queries, "_affiliations", lambda *_: aff)
+    plan = queries.queries()["j4_f18_overlap"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
