@@ -337,3 +337,19 @@ def test_pipeline(spark, tmp_path):
 def test_segment_counts_agree():
     # every segmentation of no segments is the empty one
     assert list(itertools.islice(_segmentations(2, []), 3)) == [[(pii.NONE, 0, 1, None), (pii.NONE, 1, 2, None)]]
+
+
+def test_ngram_join_leaves_no_large_scratch(spark):
+    import os
+
+    from kinweave.llm import ngram_join
+    from kinweave.llm.common import shared_dir
+
+    folder = f"{shared_dir(spark)}/kinweave"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:55], *(f"x{i}{j}" for j in range(i % 3))])) for i in range(40)] + [(100, "one other text of seven words here")]
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(40)} | {100: 100}
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"ngram-rows", "ngram-shared", "ngram-sets", "ngram-pairs", "ngram-spokes", "ngram-finer"}
