@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import decontaminate, langid, ngram_join, packing, pii
-from kinweave.llm.common import docs_of, materialize, remainder
+from kinweave.llm.common import discard, docs_of, materialize, remainder
 from kinweave.llm.queries import tokenizer_path
 
 #: Documents without letters, or whose language stays open, go.
@@ -46,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(before)
     return docs
