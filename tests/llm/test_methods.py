@@ -353,3 +353,28 @@ def test_ngram_join_leaves_no_large_scratch(spark):
     assert got == {i: 0 for i in range(40)} | {100: 100}
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
     assert not left & {"ngram-rows", "ngram-shared", "ngram-sets", "ngram-pairs", "ngram-spokes", "ngram-finer"}
+
+
+def test_contexts_beyond_the_tables_count_in_full(spark, monkeypatch):
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(250)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 120)))) for i in range(40)] + [(40, None), (41, "abc" * 9000), (42, "abc" * 9000)]
+    docs, train = spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 != 2
+    whole, _ = L.learn(docs, train)
+    monkeypatch.setattr(L, "CONTEXTS", 300)
+    monkeypatch.setattr(L, "BLOCK", 100)
+    cut, _ = L.learn(docs, train)
+    assert all(len(k) <= 300 < len(w) for (k, _), (w, _) in zip(cut.kinds[2:], whole.kinds[2:]))
+    # every token is learned from, as often as it comes
+    assert np.array_equal(cut.mixer.came, whole.mixer.came) and cut.mixer.visits.sum() == whole.mixer.visits.sum() and cut.mixer.right.sum() == whole.mixer.right.sum()
+    assert np.array_equal(cut.mixer.visits, whole.mixer.visits)  # the trust in each context is the same
+    # under equal weights every score is the same, however small the tables and the filter are
+    monkeypatch.setattr(L, "fit", lambda model, *_: whole.mixer)
+    got = []
+    for contexts, size in ((1 << 20, 26), (300, 26), (0, 8)):
+        monkeypatch.setattr(L, "CONTEXTS", contexts)
+        monkeypatch.setattr(L, "FILTER", size)
+        got.append({r.doc_id: r.score for r in L.score(docs, train).collect()})
+    assert len(got[0]) == len(rows)
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and max(abs(other[d] / x - 1) for d, x in got[0].items()) < 1e-5
