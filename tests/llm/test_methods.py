@@ -378,3 +378,37 @@ def test_contexts_beyond_the_tables_count_in_full(spark, monkeypatch):
     assert len(got[0]) == len(rows)
     for other in got[1:]:
         assert other.keys() == got[0].keys() and max(abs(other[d] / x - 1) for d, x in got[0].items()) < 1e-5
+
+
+def test_other_contexts_take_as_many_rows_with_any_number_of_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(L, "CONTEXTS", 100)
+    ctx = np.unique(rng.integers(0, 1 << 55, 6000).astype(np.uint64) << np.uint64(8))
+    rows = [(k, keys.tobytes(), np.full(len(keys), 2 + k, np.int64).tobytes()) for k in (2, 3) for keys in np.array_split(ctx | np.uint64(97), 30)]
+    found = spark.createDataFrame(rows, "kind int, keys binary, counts binary").coalesce(2)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            kinds, others = L.kept_contexts(found)
+            got.append(others.rows.collect())
+            # the filter tells all of them, and nothing else of the tables
+            m = L.Model(None, kinds, (np.zeros(0, np.uint64),))
+            m.others = others.kinds, others.filter, others.bits
+            assert all(m.among_others(k, ctx).all() and not m.in_tables(k, ctx).any() for k in (2, 3))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for x in got:
+        assert all(np.array_equal(np.sort(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in x if r["kind"] == k])), ctx | np.uint64(97)) for k in (2, 3))
+    # a row of a part for each kind and task, not for each row that was read
+    assert len(got[0]) == len(got[1]) <= 2 * 2 * 64
+
+
+def test_tables_tell_their_contexts():
+    rng = np.random.default_rng(6)
+    # many contexts in one cell of the index, and contexts with many followers
+    ctx = np.unique(np.concatenate([rng.integers(0, 1 << 55, 3000), (5 << 45) + rng.integers(0, 1 << 30, 300)]).astype(np.uint64) << np.uint64(8))
+    inside = rng.random(len(ctx)) < 0.5
+    keys = np.sort(np.concatenate([c | np.arange(n, dtype=np.uint64) for c, n in zip(ctx[inside], rng.choice([1, 2, 200], inside.sum()))]))
+    m = L.Model(None, [(keys, np.full(len(keys), 8, np.uint8))] * L.KINDS, (np.zeros(0, np.uint64),))
+    assert np.array_equal(m.in_tables(3, ctx), inside)
